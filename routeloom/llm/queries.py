@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from routeloom.llm import simhash
+from routeloom.llm import linededup, mixing, packing, pii, rules, simhash, tiff, warc
 
 QUERIES = {
+    "op1_pii_bootstrap": pii.op1_pii_bootstrap,
+    "op2_rule_ledger": rules.op2_rule_ledger,
+    "op4_warc_seekable": warc.op4_warc_seekable,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op7_line_winnowing": linededup.op7_line_winnowing,
+    "op8_cube_mixing": mixing.op8_cube_mixing,
     "op9_simhash_golay": simhash.op9_simhash_golay,
+    "op10_tiff": tiff.op10_tiff,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_rule_ledger": rules.ORACLE,
+    "op7_line_winnowing": linededup.ORACLE,
+}
