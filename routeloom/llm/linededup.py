@@ -92,10 +92,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     gone = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("later"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "later")
     joined = scanned.select("doc_id", "th", "lines").join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
-    # From a run's first line to its last, lines without words between them included.
+    # Lines without words between those of a run stay.
     numbers = let(
         F.col("lines"),
-        lambda a: F.sort_array(F.array_distinct(F.flatten(F.transform(F.coalesce("later", F.array().cast("array<struct<s:int,e:int>>")), lambda w: F.sequence(a[w["s"]]["i"], a[w["e"]]["i"]))))),
+        lambda a: F.sort_array(F.array_distinct(F.flatten(F.transform(F.coalesce("later", F.array().cast("array<struct<s:int,e:int>>")), lambda w: F.transform(F.sequence(w["s"], w["e"]), lambda k: a[k]["i"]))))),
     )
     return joined.select("doc_id", "th", F.size("lines").cast("bigint").alias("n_lines"), numbers.alias("gone"))
 
@@ -141,7 +141,7 @@ r AS (SELECT s.doc_id, s.p AS s, min(e.p) AS e FROM w s JOIN w e ON s.doc_id = e
   UNION SELECT e.doc_id, max(s.p), e.p FROM w s JOIN w e ON s.doc_id = e.doc_id AND s.p BETWEEN e.p - {MIN_WORDS - 1} AND e.p AND e.upto - s.upto + s.n >= {MIN_WORDS} GROUP BY e.doc_id, e.p),
 x AS (SELECT r.doc_id, r.s, r.e, string_agg(w.line, chr(10) ORDER BY w.p) AS body FROM r JOIN w ON w.doc_id = r.doc_id AND w.p BETWEEN r.s AND r.e GROUP BY ALL),
 f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, s) > 1),
-g AS (SELECT DISTINCT f.doc_id, unnest(range(a.i, b.i + 1)) AS i FROM f JOIN w a ON a.doc_id = f.doc_id AND a.p = f.s JOIN w b ON b.doc_id = f.doc_id AND b.p = f.e),
+g AS (SELECT DISTINCT w.doc_id, w.i FROM f JOIN w ON w.doc_id = f.doc_id AND w.p BETWEEN f.s AND f.e),
 d AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
 SELECT t.doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(gone, i)), lambda i: a[i]), chr(10)), '') END AS text,
   (SELECT count(*) FROM w WHERE w.doc_id = t.doc_id) AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted FROM t LEFT JOIN d USING (doc_id)

@@ -26,7 +26,7 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _W, _NW = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: What may be an identifier: phone- or card-like groups, else a word with a digit or @.
 CANDIDATE = rf"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9](?:[\x20-]?[0-9]){{11,}}+|(?<!{_NW})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NW}*+"
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_BYTE = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 VALID_IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
 ROUNDS = 3
@@ -121,7 +121,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: doc_id, th, base spans (s, k, e) and candidates."""
     out = docs.select("doc_id", text_key().alias("th"), text_or_empty().alias("_t"))
     out = out.select("doc_id", "th", *[_base(F.col("_t"), k).alias(k) for k in KINDS], _candidates(F.col("_t")).alias("candidates"))
-    spans = [F.transform(k, lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(KINDS)]
+
+    def of_kind(i: int) -> Column:
+        return F.transform(KINDS[i], lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e")))
+
+    spans = [of_kind(i) for i in range(len(KINDS))]
     return out.select("doc_id", "th", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS], F.sort_array(F.concat(*spans)).alias("base"), "candidates")
 
 

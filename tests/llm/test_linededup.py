@@ -27,8 +27,8 @@ def brute(docs, least=linededup.MIN_WORDS):
                     if run not in seen:
                         seen[run] = (key, s)
                     elif seen[run] < (key, s):
-                        out[key] |= set(range(a[s][0], a[e][0] + 1))
-                if n >= 2 * least:  # longer runs are unions of these
+                        out[key] |= {i for i, _, _ in a[s : e + 1]}
+                if n - a[s][2] >= least:  # longer runs are unions of shorter ones
                     break
     return out
 
@@ -59,11 +59,11 @@ def test_whole_table_and_sql(spark, sf_dir):
 
 def test_edges(spark):
     p = " ".join(f"w{i}" for i in range(55))
-    rows = [(1, None), (2, ""), (3, p), (4, f"x\n{p}\n\ny"), (5, f"x\n{p}"), (5, f"x\n{p}"), (None, p), (6, f"{p}\n{p}"), (7, "short line\nshort line")]
+    rows = [(1, None), (2, ""), (3, p), (4, f"x\n{p}\n\ny"), (5, f"q\n{p}"), (5, f"q\n{p}"), (None, p), (6, f"{p}\n{p}"), (7, "short line\nshort line")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"n_chars": F.lit(7).cast("bigint"), "lines": F.lit("c"), "th": F.lit(1), "windows": F.lit(2)})
     out = linededup.dedup_stage(spark, docs, "")
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
-    want = [(1, None, 7), (2, "", 7), (3, p, 7), (4, "x\n\ny", 4), (5, "x", 1), (5, "x", 1), (None, "", 0), (6, "", 0), (7, "short line\nshort line", 7)]
+    want = [(1, None, 7), (2, "", 7), (3, p, 7), (4, "x\n\ny", 4), (5, "q", 1), (5, "q", 1), (None, "", 0), (6, "", 0), (7, "short line\nshort line", 7)]
     assert got == sorted(want, key=str)
     assert linededup.dedup_stage(spark, docs.limit(0), "").collect() == []
