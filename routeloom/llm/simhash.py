@@ -121,7 +121,8 @@ def links(prints: DataFrame, max_pairs: int = PAIR_BUCKET) -> DataFrame:
     that meet there are linked to their smallest.
     """
     keys = prints.mapInArrow(_keys, "key bigint, fp bigint")
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, as the adaptive planner splits a hot key only between two plain exchanges.
+    many = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
     shared = written(keys.join(many, "key"), "buckets")
     few = shared.where(F.col("n") <= max_pairs).select("key", "fp")
     pairs = (
@@ -160,7 +161,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = written(rows.groupBy("fp").agg(lead), "distinct")
     labels = connected_components(links(prints.select("fp"))).select(F.col("node").alias("fp"), "label")
     grouped = written(prints.join(labels, "fp").select("fp", "label", "lead"), "grouped")
-    leads = grouped.groupBy("label").agg(F.min("lead").alias("group_lead"))
+    leads = written(grouped.groupBy("label").agg(F.min("lead").alias("group_lead")), "leads")
     merged = grouped.join(leads, "label").select("fp", "group_lead")
     owner = written(
         prints.join(merged, "fp", "left").select("fp", F.coalesce("group_lead", "lead").alias("lead")),
