@@ -49,8 +49,8 @@ def link(f: Points, g: Points, period: float = DAY_S) -> Points:
     shifts = np.arange(np.floor(first / period), np.floor(last / period) + 1)
     breaks = (g[0][:-1][None] + shifts[:, None] * period).ravel()
     breaks = breaks[(breaks > first) & (breaks < last)]
-    rising = np.concatenate([np.diff(arrive) > 1e-12, [True]])  # of equal arrivals the last departure
-    at = np.unique(np.concatenate([f[0], np.interp(breaks, arrive[rising], f[0][rising])]))
+    # Where arrivals stand still, both ends of the stretch are breaks of f already.
+    at = np.unique(np.concatenate([f[0], np.interp(breaks, np.maximum.accumulate(arrive), f[0])]))
     val = value(f, np.minimum(at, np.nextafter(period, 0)), period)
     val[at >= period] = f[1][0]
     return _tidy(at, val + value(g, at + val, period))
