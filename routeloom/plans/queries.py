@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routeloom.functions import roads, ttf
-from routeloom.operators import analysis, assignment, measurements, network, search
+from routeloom.functions import kernels, roads, ttf
+from routeloom.operators import analysis, assignment, hierarchy, measurements, network, routing, search
 from routeloom.plans.tables import Tables, duck
+from routeloom.sources import formats
+from routeloom.streaming import link_speed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -850,3 +852,141 @@ def _(t):
 @query("G4_pareto", "SELECT DISTINCT l_suppkey, l_quantity, l_extendedprice FROM {lineitem} x WHERE NOT EXISTS (SELECT 1 FROM {lineitem} y WHERE y.l_suppkey = x.l_suppkey AND y.l_quantity <= x.l_quantity AND y.l_extendedprice <= x.l_extendedprice AND (y.l_quantity, y.l_extendedprice) <> (x.l_quantity, x.l_extendedprice))")
 def _(t):
     return search.pareto(t.lineitem.select("l_suppkey", "l_quantity", "l_extendedprice"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+
+
+# --- kernels --------------------------------------------------------------------------------
+
+
+def _seconds(t: Tables) -> DataFrame:
+    p = t.points.select("edge_id", (F.col("at_ms") / 1000).alias("at"), (F.col("val") / 1000).alias("val"))
+    return p.groupBy("edge_id").agg(ttf.collect().alias("f"))
+
+
+def _pairs(t: Tables) -> DataFrame:
+    f = _seconds(t)
+    g = f.select(F.pmod(F.col("edge_id") - 1, F.lit(50)).alias("edge_id"), F.col("f").alias("g"))
+    return f.join(g, "edge_id")
+
+
+_SECOND_EVAL = """q AS (SELECT event_id, edge_id, t / 1000.0 AS t FROM {departures}),
+    fb AS (SELECT q.event_id, q.edge_id, q.t, p.at_ms / 1000.0 AS x, p.val / 1000.0 AS v, p.at_ms FROM q ASOF JOIN {points} p ON q.edge_id = p.edge_id AND q.t * 1000 >= p.at_ms),
+    fe AS (SELECT fb.event_id, fb.edge_id, fb.t, any_value(fb.v) + (fb.t - any_value(fb.x)) * (arg_min(p.val, p.at_ms) / 1000.0 - any_value(fb.v)) / (min(p.at_ms) / 1000.0 - any_value(fb.x)) AS f
+      FROM fb JOIN {points} p ON p.edge_id = fb.edge_id AND p.at_ms > fb.at_ms GROUP BY fb.event_id, fb.edge_id, fb.t),
+    gq AS (SELECT event_id, (edge_id + 1) % 50 AS edge_id, {shift} AS t, f FROM fe),
+    gb AS (SELECT gq.*, p.at_ms / 1000.0 AS x, p.val / 1000.0 AS v, p.at_ms FROM gq ASOF JOIN {points} p ON gq.edge_id = p.edge_id AND gq.t * 1000 >= p.at_ms),
+    ge AS (SELECT gb.event_id, any_value(gb.f) AS f, any_value(gb.v) + (any_value(gb.t) - any_value(gb.x)) * (arg_min(p.val, p.at_ms) / 1000.0 - any_value(gb.v)) / (min(p.at_ms) / 1000.0 - any_value(gb.x)) AS g
+      FROM gb JOIN {points} p ON p.edge_id = gb.edge_id AND p.at_ms > gb.at_ms GROUP BY gb.event_id)"""
+
+
+def _evaluated(t: Tables, how: str) -> DataFrame:
+    h = kernels.combined(_pairs(t), "edge_id", how)
+    d = t.departures.select("event_id", "edge_id", (F.col("t") / 1000).alias("t")).join(F.broadcast(h), "edge_id")
+    return d.select("event_id", F.round(ttf.eval_s(F.col("h"), F.col("t")), 3).alias("tt"))
+
+
+@query("F5_linked", "WITH " + _SECOND_EVAL.replace("{shift}", "(t + f) % 86400.0") + " SELECT event_id, CAST(round(f + g, 3) AS DOUBLE) AS tt FROM ge")
+def _(t):
+    return _evaluated(t, "link")
+
+
+@query("F6_merged", "WITH " + _SECOND_EVAL.replace("{shift}", "t") + " SELECT event_id, CAST(round(least(f, g), 3) AS DOUBLE) AS tt FROM ge")
+def _(t):
+    return _evaluated(t, "merge")
+
+
+@query("G13_G15_G16_hierarchy", f"{_ALL} SELECT q.query_id, q.source, q.target, CAST(d.d AS BIGINT) AS dist FROM ({_STQ}) q LEFT JOIN d5 d ON d.s = q.source AND d.v = q.target")
+def _(t):
+    graph = search.load_graph(t.edges)
+    metric = hierarchy.Hierarchy(graph, hierarchy.min_degree_order(graph)).customize(perfect=True)
+    return hierarchy.tree_distances(t.sql(_STQ), metric).select("query_id", "source", "target", "dist")
+
+
+@query("G18_tree_labels", f"{_ALL} SELECT s AS source, v AS target, CAST(d AS BIGINT) AS dist FROM d5 WHERE s IN (SELECT tail FROM {{edges}} UNION SELECT head FROM {{edges}}) AND v IN (SELECT tail FROM {{edges}} UNION SELECT head FROM {{edges}})")
+def _(t):
+    graph = search.load_graph(t.edges)
+    metric = hierarchy.Hierarchy(graph, hierarchy.min_degree_order(graph)).customize(perfect=True)
+    nodes = t.edges.select(F.col("tail").alias("node")).union(t.edges.select("head")).distinct()
+    pairs = nodes.select(F.col("node").alias("source")).crossJoin(F.broadcast(nodes.select(F.col("node").alias("target"))))
+    out, into = (hierarchy.ancestor_labels(nodes, metric, forward) for forward in (True, False))
+    return search.label_distances(pairs, out, into).select("source", "target", "dist")
+
+
+@query("G22_alternatives")
+def _(t):
+    return routing.per_query(t.sql(_STQ).dropDuplicates(["source", "target"]), search.load_graph(t.edges), _alternatives)
+
+
+def _alternatives(graph, source, target):
+    return routing.penalty_alternatives(graph, source, target)
+
+
+@query("F16_profiles")
+def _(t):
+    rows = t.hourly.select("edge_id", (F.col("at_ms") / 3_600_000).cast("int").alias("h"), (20 + F.col("val") % 80).cast("int").alias("speed"))
+    g = rows.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("h", "speed"))).alias("p"))
+    return profiles(g)
+
+
+def profiles(g: DataFrame) -> DataFrame:
+    """Travel-time profiles of hourly speeds (p: h, speed) on links of 500 m and more."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ids, ats, vals = [], [], []
+            for e, p in zip(b.column("edge_id").to_pylist(), b.column("p").to_pylist(), strict=True):
+                starts = [x["h"] * 3600 for x in p]
+                starts[0] = 0
+                at, val = kernels.profile_to_ttf(starts, [x["speed"] for x in p], 500 + 40 * e)
+                ids += [e] * len(at)
+                ats += at.round(3).tolist()
+                vals += val.round(3).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(ats, pa.float64()), pa.array(vals, pa.float64())], names=["edge_id", "at_s", "val_s"])
+
+    return g.mapInArrow(run, "edge_id int, at_s double, val_s double")
+
+
+@query("F20_D6_calibration")
+def _(t):
+    m = t.measured.select("edge_id", F.least(F.col("sampled") / 4, F.lit(80.0)).alias("density"), F.greatest(F.lit(1.0), 60 - F.col("vehicles") * 1.5).alias("speed"), F.lit(60.0).alias("free_flow"))
+    return kernels.calibrated(m, "edge_id").select("edge_id", *[F.round(c, 4).alias(c) for c in ("a", "e", "theta", "jam", "sse")])
+
+
+@query("T1_T2_link_speeds")
+def _(t):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = t.events.select(F.col("user_id").alias("vehicle_id"), F.row_number().over(w).alias("k"), "event_id")
+    link = e.select("vehicle_id", (F.col("k") * 2).alias("seq"), F.lit("link").alias("kind"), F.col("k").cast("bigint").alias("link_id"), (10_000 + F.col("event_id") % 5 * 1000).cast("int").alias("length"), F.lit(50).alias("speed_limit"), F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("fraction"))
+    trace = e.select("vehicle_id", (F.col("k") * 2 + 1).alias("seq"), F.lit("trace").alias("kind"), F.col("k").cast("bigint").alias("link_id"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("speed_limit"), (100_000 + F.col("k") * 2000).cast("bigint").alias("ts"), F.lit(0.5).alias("fraction"))
+    return link_speed.link_speeds(link.unionByName(trace))
+
+
+@query("D1_D7_D11_assignment")
+def _(t):
+    def route(trips, weights):
+        found = search.dijkstra(trips, search.load_graph(weights))
+        return found.where("dist IS NOT NULL AND size(edge_path) > 0").select("query_id", F.col("edge_path").alias("path"), F.col("dist").cast("double").alias("cost"))
+
+    def cost(chosen, weights):
+        use = chosen.select(F.explode("path").alias("edge_id")).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
+        slower = F.col("weight") + F.coalesce("n", F.lit(0)) / 4
+        return weights.join(use, weights["edge_id"] == use["edge_id"], "left").select(weights["edge_id"], "tail", "head", slower.cast("bigint").alias("weight"))
+
+    alternatives, _ = assignment.assign(t.sql(_STQ), route, cost, t.edges, 3)
+    return alternatives.select("query_id", "alt_ix", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.round("cost", 4).alias("cost"), F.round("prob", 6).alias("prob"))
+
+
+@query("F27_merged_alternatives")
+def _(t):
+    a = t.alternatives.groupBy("query_id", "alt_ix").agg(F.array(F.first("partkey"), F.first("suppkey")).alias("path"), F.first("cost").alias("cost"), F.first("prob").cast("double").alias("prob"))
+    found = t.lines.where("pos = 1").select(F.col("l_orderkey").alias("query_id"), F.array("l_partkey", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_suppkey")).otherwise(F.lit(-1).cast("bigint"))).alias("path"), (F.col("l_extendedprice") / 2).alias("cost"))
+    m = assignment.merge_new_paths(a, found)
+    return m.select("query_id", "alt_ix", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.round("cost", 2).alias("cost"), F.round("prob", 6).alias("prob"))
+
+
+@query("S26_N13_log_state")
+def _(t):
+    text = F.when(F.col("event_id") % 500 == 0, F.format_string("Calling it with output directory: /x/run_%d and arguments: a", F.col("event_id")))
+    text = text.when(F.col("event_id") % 50 == 1, F.format_string("> Executing step %d", F.floor(F.col("event_id") / 50))).when(F.col("event_id") % 50 == 2, F.lit(">> Running router"))
+    text = text.when(F.col("event_id") % 50 == 30, F.lit(">> Running simulation")).otherwise(F.format_string("r; /x; 1; phase%d; %d", F.col("event_id") % 7, F.col("event_id")))
+    return formats.carried(t.events.select(F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("file"), F.col("event_id").alias("line"), text.alias("value")))
