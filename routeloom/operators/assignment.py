@@ -24,24 +24,35 @@ def gawron(costs: Column, probs: Column, a: float = 0.5) -> Column:
     routes, so that later pairs see earlier shifts: a fold over the pairs that carries the
     array. A negative cost starts with probability 0.
     """
-    n = F.size(costs)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < n - 1, F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))))
-    start = F.zip_with(costs, probs, lambda c, p: F.when(c < 0, 0.0).otherwise(p))
+    huge = F.lit(1.7976931348623157e308)
+    clip = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+
+    def update(c: Column, p0: Column) -> Column:
+        n = F.size(c)
+        none = F.array().cast("array<struct<i:int,j:int>>")
+        later = lambda i: F.when(i < n - 1, F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))).otherwise(none)
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), later))
+        start = F.zip_with(c, p0, lambda x, p: F.when(x < 0, 0.0).otherwise(p))
+
+        # Each step is bound once: nested uses of a column expression would multiply.
+        def shift(p: Column, pair: Column) -> Column:
+            known = F.struct(pair["i"].alias("i"), pair["j"].alias("j"), c[pair["i"]].alias("ci"), c[pair["j"]].alias("cj"), p[pair["i"]].alias("pi"), p[pair["j"]].alias("pj"))
+            return let(known, lambda k: let((k["cj"] - k["ci"]) / (k["cj"] + k["ci"]), lambda x: let(1 - x * x, lambda d: let(F.when(d == 0, huge).otherwise(F.exp(a * x / d)), lambda g: _moved(p, k, g)))))
+
+        def _moved(p: Column, k: Column, g: Column) -> Column:
+            new = let(k["pi"] * g + k["pj"], lambda w: F.when(w == 0, huge).otherwise(k["pi"] * (k["pi"] + k["pj"]) * g / w))
 
-    def shift(p: Column, pair: Column) -> Column:
-        i, j = pair["i"], pair["j"]
-        ci, cj, pi, pj = costs[i], costs[j], p[i], p[j]
-        x = (cj - ci) / (cj + ci)
-        g = F.when(1 - x * x == 0, F.lit(1.7976931348623157e308)).otherwise(F.exp(a * x / (1 - x * x)))
-        weighted = pi * g + pj
-        new = F.when(weighted == 0, F.lit(1.7976931348623157e308)).otherwise(pi * (pi + pj) * g / weighted)
-        lost = F.isnan(new) | new.isNull()
-        clip = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-        to_i = F.when(lost, F.when(cj > ci, 1.0).otherwise(0.0)).otherwise(clip(new))
-        to_j = F.when(lost, F.when(cj > ci, 0.0).otherwise(1.0)).otherwise(clip(pi + pj - new))
-        return let(F.struct(to_i.alias("a"), to_j.alias("b")), lambda s: F.transform(p, lambda v, k: F.when(k == i, s["a"]).when(k == j, s["b"]).otherwise(v)))
+            def both(v: Column) -> Column:
+                lost, dearer = F.isnan(v) | v.isNull(), k["cj"] > k["ci"]
+                to_i = F.when(lost, F.when(dearer, 1.0).otherwise(0.0)).otherwise(clip(v))
+                to_j = F.when(lost, F.when(dearer, 0.0).otherwise(1.0)).otherwise(clip(k["pi"] + k["pj"] - v))
+                return F.struct(to_i.alias("a"), to_j.alias("b"))
 
-    return F.when(n <= 1, start).otherwise(F.aggregate(pairs, start, shift))
+            return let(let(new, both), lambda s: F.transform(p, lambda v, m: F.when(m == k["i"], s["a"]).when(m == k["j"], s["b"]).otherwise(v)))
+
+        return F.when(n <= 1, start).otherwise(F.aggregate(pairs, start, shift))
+
+    return let(F.struct(costs.alias("c"), probs.alias("p")), lambda s: update(s["c"], s["p"]))
 
 
 def c_logit(costs: Column, paths: Column, beta: float = -1.0, gamma: float = 1.0, theta: float = -1.0) -> Column:
@@ -50,6 +61,10 @@ def c_logit(costs: Column, paths: Column, beta: float = -1.0, gamma: float = 1.0
     The overlap of two paths is the number of the first one's edges that the second has,
     times the mean of both paths' mean edge times; of equal paths the smaller cost.
     """
+    return let(F.struct(costs.alias("c"), paths.alias("p")), lambda s: _c_logit(s["c"], s["p"], beta, gamma, theta))
+
+
+def _c_logit(costs: Column, paths: Column, beta: float, gamma: float, theta: float) -> Column:
     n = F.size(costs)
     mean = F.aggregate(costs, F.lit(0.0), lambda s, c: s + c / 3600) / n
     least = F.array_min(costs) / 3600

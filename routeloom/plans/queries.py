@@ -343,7 +343,7 @@ _SPANS = "SELECT event_id, edge_id, t / 1000 AS enter, t / 1000 + 60 + (event_id
     "J13_D3_overlap_density",
     """WITH s AS (SELECT event_id, edge_id, (t - t % 1000) // 1000 AS enter, (t - t % 1000) // 1000 + 60 + (event_id * 31) % 4000 AS leave FROM {departures}),
     o AS (SELECT s.edge_id, k AS begin_s, CASE WHEN s.event_id % 5 = 0 THEN -1 ELSE 1 END * (least(leave, k + 900) - greatest(enter, k)) AS sec
-      FROM s, range(0, 100 * 900, 900) AS r(k) WHERE enter < k + 900 AND leave > k)
+      FROM s, range(0, 110 * 900, 900) AS r(k) WHERE enter < k + 900 AND leave > k)
     SELECT edge_id, begin_s, CAST(sum(sec) AS DOUBLE) AS vehicle_seconds FROM o GROUP BY ALL""",
 )
 def _(t):
@@ -457,12 +457,12 @@ def _(t):
 
 @query(
     "F2_eval_seconds",
-    f"WITH {_AROUND} SELECT x.event_id, CAST(round(CASE WHEN x.t = x.at_ms THEN x.val / 1000.0 ELSE (x.val + (x.t - x.at_ms) * (x.val2 - x.val) / (x.at2 - x.at_ms)) / 1000.0 END, 5) AS DOUBLE) AS tt FROM x",
+    f"WITH {_AROUND} SELECT x.event_id, CAST(round(CASE WHEN x.t = x.at_ms THEN x.val / 1000.0 ELSE (x.val + (x.t - x.at_ms) * (x.val2 - x.val) / (x.at2 - x.at_ms)) / 1000.0 END, 3) AS DOUBLE) AS tt FROM x",
 )
 def _(t):
     p = t.points.select("edge_id", (F.col("at_ms") / 1000).alias("at"), (F.col("val") / 1000).alias("val"))
     f = p.groupBy("edge_id").agg(ttf.collect().alias("f"))
-    return t.departures.join(F.broadcast(f), "edge_id").select("event_id", F.round(ttf.eval_s(F.col("f"), F.col("t") / 1000), 5).alias("tt"))
+    return t.departures.join(F.broadcast(f), "edge_id").select("event_id", F.round(ttf.eval_s(F.col("f"), F.col("t") / 1000), 3).alias("tt"))
 
 
 @query("A3_bounds", "SELECT edge_id, min(val) AS lo, max(val) AS hi FROM {points} GROUP BY edge_id")
