@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions import kernels, roads, ttf
-from routeloom.operators import analysis, assignment, hierarchy, measurements, network, routing, search
+from routeloom.operators import analysis, assignment, hierarchy, measurements, network, routing, search, workloads
 from routeloom.plans.tables import Tables, duck
 from routeloom.sources import formats
 from routeloom.streaming import link_speed
@@ -990,3 +990,122 @@ def _(t):
     text = text.when(F.col("event_id") % 50 == 1, F.format_string("> Executing step %d", F.floor(F.col("event_id") / 50))).when(F.col("event_id") % 50 == 2, F.lit(">> Running router"))
     text = text.when(F.col("event_id") % 50 == 30, F.lit(">> Running simulation")).otherwise(F.format_string("r; /x; 1; phase%d; %d", F.col("event_id") % 7, F.col("event_id")))
     return formats.carried(t.events.select(F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("file"), F.col("event_id").alias("line"), text.alias("value")))
+
+
+# --- workloads ------------------------------------------------------------------------------
+
+
+@query(
+    "G7_components",
+    """WITH RECURSIVE u AS (SELECT tail AS a, head AS b FROM {edges} UNION SELECT head, tail FROM {edges}), r(s, v) AS (SELECT a, a FROM u UNION SELECT r.s, u.b FROM r JOIN u ON u.a = r.v)
+    SELECT s AS node, min(v) AS component FROM r GROUP BY s""",
+)
+def _(t):
+    return workloads.components(t.edges)
+
+
+@query("G33_uniform_queries")
+def _(t):
+    return workloads.uniform_queries(t.spark, 25, 10_000, 7, 86_400_000)
+
+
+@query("G33_ball_queries", f"{_ALL}, r AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY d, v) AS k FROM d5) SELECT s AS source, v AS target FROM r WHERE k <= 6")
+def _(t):
+    return workloads.ball_queries(_distances(t), 6, 6, 1)
+
+
+@query("G34_verified_run", "SELECT CAST(0 AS BIGINT) AS differing")
+def _(t):
+    graph = search.load_graph(t.edges)
+    kernel = search.dijkstra(t.sql(_STQ).select("source", "target").distinct(), graph).select("source", "target", "dist")
+    out, into = _hubs(t)
+    labels = search.label_distances(t.sql(_STQ).select("source", "target").distinct(), out, into).select("source", "target", "dist")
+    both = kernel.where("dist IS NOT NULL")
+    return workloads.disagreements(both, labels, ["source", "target"]).agg(F.count(F.lit(1)).alias("differing"))
+
+
+@query("G27_window_bounds")
+def _(t):
+    return workloads.window_bounds(_functions(t), workloads.day_windows(3_600_000))
+
+
+@query("G31_contracted_chains")
+def _(t):
+    return workloads.contract_chains(t.edges.where("weight % 3 = 0"))
+
+
+@query(
+    "S7_live_overlay",
+    """SELECT e.edge_id, l.live, CAST(l.duration + 1000 AS BIGINT) AS until FROM {edges} e LEFT JOIN (SELECT CAST(user_id % 225 AS INT) AS edge_id, CAST(floor(max(value)) AS BIGINT) AS live, CAST(max(event_id) % 5000 AS BIGINT) AS duration
+      FROM {events} GROUP BY user_id % 225) l ON l.edge_id = e.edge_id AND l.duration < 4000""",
+)
+def _(t):
+    live = t.events.groupBy((F.col("user_id") % 225).cast("int").alias("edge_id")).agg(F.floor(F.max("value")).cast("bigint").alias("live"), (F.max("event_id") % 5000).alias("duration"))
+    return workloads.live_overlay(t.edges.select("edge_id"), live, 1000, 4000)[0]
+
+
+@query("T5_periodic_buckets", "SELECT event_id, CAST((t // 900000) % 96 AS BIGINT) AS bucket FROM {departures}")
+def _(t):
+    return t.departures.select("event_id", F.pmod(F.floor(F.col("t") / 900_000), F.lit(96)).alias("bucket"))
+
+
+@query("O7_first_queries", f"SELECT query_id, source, target FROM ({_STQ}) q ORDER BY query_id LIMIT 100")
+def _(t):
+    return t.sql(_STQ).orderBy("query_id").limit(100)
+
+
+@query(
+    "X22_known_ids",
+    """SELECT count(*) AS total, count(*) FILTER (a AND b) AS nodes_known, count(*) FILTER (e) AS edge_known FROM (
+      SELECT v.x IN (SELECT node_id FROM {places} WHERE region < 3) AS a, v.y IN (SELECT node_id FROM {places} WHERE region < 3) AS b,
+        EXISTS (SELECT 1 FROM {edges} k WHERE k.tail = v.x AND k.head = v.y) AS e FROM (SELECT event_id % 30 AS x, user_id % 30 AS y FROM {events}) v) q""",
+)
+def _(t):
+    inside = t.places.where("region < 3")
+    v = t.events.select((F.col("event_id") % 30).alias("x"), (F.col("user_id") % 30).alias("y"))
+    known = lambda name: inside.select(F.col("node_id").alias(name), F.lit(True).alias(f"k_{name}"))
+    e = t.edges.select(F.col("tail").alias("x"), F.col("head").alias("y"), F.lit(True).alias("k_e"))
+    j = v.join(known("x"), "x", "left").join(known("y"), "y", "left").join(e, ["x", "y"], "left")
+    return j.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("k_x") & F.col("k_y")).alias("nodes_known"), F.count_if("k_e").alias("edge_known"))
+
+
+@query("X23_upscaled", "SELECT edge_id, at_ms * 10 AS at_ms, val * 10 AS val FROM {points}")
+def _(t):
+    return t.points.select("edge_id", (F.col("at_ms") * 10).alias("at_ms"), (F.col("val") * 10).alias("val"))
+
+
+@query("P10_link_directions", "SELECT a.road_id, b.road_id AS opposite FROM {roads} a JOIN (SELECT tail, head, min(road_id) AS road_id FROM {roads} GROUP BY tail, head) b ON b.tail = a.head AND b.head = a.tail WHERE a.lanes > 2")
+def _(t):
+    first = t.roads.groupBy(F.col("head").alias("tail"), F.col("tail").alias("head")).agg(F.min("road_id").alias("opposite"))
+    return t.roads.where("lanes > 2").join(first, ["tail", "head"]).select("road_id", "opposite")
+
+
+@query("U2_active_edges", "SELECT DISTINCT edge_id FROM {hourly} WHERE at_ms < 36000000 UNION SELECT edge_id FROM {hourly} WHERE at_ms >= 57600000 AND val > 3000000")
+def _(t):
+    h = t.hourly
+    return h.where("at_ms < 36000000").select("edge_id").union(h.where("at_ms >= 57600000 AND val > 3000000").select("edge_id")).distinct()
+
+
+@query("A13_paired_tests")
+def _(t):
+    r = t.sql(_RUNS).groupBy("algorithm", "iteration").agg(F.avg("value").alias("v"))
+    a, b = r.where("algorithm = 'F'").select("iteration", F.col("v").alias("a")), r.where("algorithm = 'O'").select("iteration", F.col("v").alias("b"))
+    return workloads.paired_tests(a.join(b, "iteration").withColumn("pair", F.lit("F-O")), ["pair"], "a", "b")
+
+
+@query("D13_random_trips")
+def _(t):
+    return workloads.random_trips(t.places, {0: 200, 1: 500, 2: 300}, 3600, 5)
+
+
+@query("D4_sampled_routes")
+def _(t):
+    def route(trips, weights):
+        return search.dijkstra(trips, search.load_graph(weights)).where("dist IS NOT NULL").select("query_id", "dist", "edge_path")
+
+    def update(found, weights):
+        use = found.select(F.explode("edge_path").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+        return weights.join(use, weights["edge_id"] == use["e"], "left").select("edge_id", "tail", "head", (F.col("weight") + F.coalesce("n", F.lit(0))).alias("weight"))
+
+    r = workloads.sampled_routes(t.sql(_STQ), [0.5, 0.3, 0.2], t.edges, route, update, 11)
+    return r.select("query_id", "sample", "dist")
