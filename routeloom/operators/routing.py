@@ -343,3 +343,67 @@ def window_union(graph: Graph, functions: dict[int, kernels.Points], source: int
         if found:
             out |= {graph.edge[k] for k in found[2]}
     return out
+
+
+def functions_by_edge(graph: Graph, of: Callable[[int], int] = int, period: float = kernels.DAY_S) -> dict[int, kernels.Points]:
+    """The graph's travel-time functions in seconds, complete over the period, by edge id."""
+    out = {}
+    for edge, points in zip(graph.edge, graph.points or [], strict=True):
+        if points is not None:
+            out[of(edge)] = (np.array(points[0], float) / 1000, np.array(points[1], float) / 1000)
+    return out
+
+
+def profile_rows(sources: DataFrame, graph: Graph, period: float = kernels.DAY_S) -> DataFrame:
+    """source, node, lo, hi, points: every profile from each source, its bounds and its size.
+
+    One task holds one source's profiles at a time; sources are independent.
+    """
+    shared = sources.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        functions = functions_by_edge(g)
+        for b in batches:
+            for s in b.column("source").to_pylist():
+                found = profile(g, functions, s, period) if s in g.number else {}
+                rows = [(s, n, float(f[1].min()), float(f[1].max()), len(f[0])) for n, f in found.items() if n != s]
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["source", "node", "lo", "hi", "points"])
+
+    return sources.select("source").mapInArrow(run, "source bigint, node bigint, lo double, hi double, points int")
+
+
+#: Windows of a day in seconds whose mean metrics differ: night, morning, noon, evening.
+DAY_WINDOWS = ((22 * 3600.0, 5 * 3600.0), (7 * 3600.0, 10 * 3600.0), (11 * 3600.0, 15 * 3600.0), (16 * 3600.0, 19 * 3600.0))
+
+
+def sampled_windows(queries: DataFrame, graph: Graph, windows: tuple[tuple[float, float], ...] = DAY_WINDOWS) -> DataFrame:
+    """query_id, dist: time-dependent search on the union of the windows' shortest paths only.
+
+    An upper bound of the exact travel time, close to it where the windows fit the day.
+    """
+    from routeloom.operators.search import eval_points
+
+    shared = queries.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        functions = functions_by_edge(g)
+        means = []
+        for a, b in windows:
+            stop = b if b > a else b + kernels.DAY_S
+            t = np.linspace(a, stop, 97)
+            means.append([float(np.trapezoid(kernels.value(functions[e], t), t) / (stop - a)) if e in functions else float("inf") for e in g.edge])
+        for b in batches:
+            out = []
+            for s, t, start in zip(*(b.column(c).to_pylist() for c in ("source", "target", "departure")), strict=True):
+                active = {k for w in means if s in g.number and (found := shortest(g, s, t, w)) for k in found[2]}
+                labels, _, _ = g.search(s, t, lambda k, now: eval_points(g.points[k], now, 86_400_000) if k in active else None, start)  # noqa: B023
+                end = labels.get(g.number.get(t, -1))
+                out.append(None if end is None else int(end - start))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array(out, pa.int64())], names=["query_id", "dist"])
+
+    return queries.select("query_id", "source", "target", "departure").mapInArrow(run, "query_id bigint, dist bigint")

@@ -813,16 +813,16 @@ def _(t):
     return search.label_distances(t.sql(_STQ).select("source", "target").distinct(), out, into).select("source", "target", "dist")
 
 
-@query("J10_G19_many_to_many", f"{_ALL} SELECT s AS source, v AS target, CAST(d AS BIGINT) AS dist FROM d5 WHERE s % 2 = 0 AND v % 3 = 0")
+@query("J10_G19_many_to_many", f"{_ALL} SELECT s AS source, v AS target, CAST(d AS BIGINT) AS dist FROM d5 WHERE s IN (SELECT node_id FROM {{places}} WHERE region IN (0, 1, 2)) AND v IN (SELECT node_id FROM {{places}} WHERE region IN (2, 3, 4))")
 def _(t):
     out, into = _hubs(t)
     n = t.places
-    return search.many_to_many(n.where("node_id % 2 = 0").select(F.col("node_id").alias("source")), n.where("node_id % 3 = 0").select(F.col("node_id").alias("target")), out, into)
+    return search.many_to_many(n.where("region IN (0, 1, 2)").select(F.col("node_id").alias("source")), n.where("region IN (2, 3, 4)").select(F.col("node_id").alias("target")), out, into)
 
 
-@query("O3_G8_nearest", f"{_ALL} SELECT s AS source, v AS node, CAST(d AS BIGINT) AS dist, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS k FROM d5 WHERE v % 2 = 1) x WHERE k <= 4")
+@query("O3_G8_nearest", f"{_ALL} SELECT s AS source, v AS node, CAST(d AS BIGINT) AS dist, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS k FROM d5 WHERE v IN (SELECT node_id FROM {{places}} WHERE region > 1)) x WHERE k <= 4")
 def _(t):
-    return search.nearest(_distances(t), t.places.where("node_id % 2 = 1").select(F.col("node_id").alias("target")), 4)
+    return search.nearest(_distances(t), t.places.where("region > 1").select(F.col("node_id").alias("target")), 4)
 
 
 @query("N10_ranks", f"{_ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS k FROM d5) SELECT s AS source, CAST(log2(k) AS INT) AS k, v AS node, CAST(d AS BIGINT) AS dist FROM r WHERE k IN (1, 2, 4, 8, 16)")
@@ -1109,3 +1109,36 @@ def _(t):
 
     r = workloads.sampled_routes(t.sql(_STQ), [0.5, 0.3, 0.2], t.edges, route, update, 11)
     return r.select("query_id", "sample", "dist")
+
+
+def _timed_graph(t: Tables):
+    timed = t.edges.select((F.col("edge_id") % 50).cast("int").alias("f_id"), "edge_id").join(t.points.withColumnRenamed("edge_id", "f_id"), "f_id").select("edge_id", F.col("at_ms").alias("at"), "val")
+    return search.load_graph(t.edges, timed)
+
+
+def _timed_queries(t: Tables) -> DataFrame:
+    return t.sql(_STQ).withColumn("departure", F.pmod(F.col("query_id") * 104729, F.lit(86_400_000)))
+
+
+@query("G26_profiles")
+def _(t):
+    sources = t.places.select(F.col("node_id").cast("bigint").alias("source")).repartition(25)
+    p = routing.profile_rows(sources, _timed_graph(t))
+    return p.select("source", "node", F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"), "points")
+
+
+@query("G23_sampled_windows")
+def _(t):
+    return routing.sampled_windows(_timed_queries(t), _timed_graph(t))
+
+
+@query("G29_G30_traffic_aware")
+def _(t):
+    return routing.per_query(t.sql(_STQ).dropDuplicates(["source", "target"]), search.load_graph(t.edges), _aware)
+
+
+def _aware(graph, source, target):
+    """The route on live weights (a hash of the edge slows some down) near the smooth optimum."""
+    live = [float(w * (1 + e * 7919 % 5)) for w, e in zip(graph.weight, graph.edge, strict=True)]
+    found = routing.TrafficAware(graph, live, 0.5).fixed(source, target)
+    return [] if found is None else [found[0]]
