@@ -802,9 +802,13 @@ def _(t):
 
 
 def _hubs(t: Tables) -> tuple[DataFrame, DataFrame]:
-    d = _distances(t)
-    # All nodes as hubs: the labels are complete, whatever the hierarchy.
-    return search.hub_labels(d, d, t.places.select(F.col("node_id").alias("hub")))
+    """Labels from the hierarchy's ancestors; a node without edges is its own hub."""
+    graph = search.load_graph(t.edges)
+    metric = hierarchy.Hierarchy(graph, hierarchy.min_degree_order(graph)).customize(perfect=True)
+    nodes = t.places.select(F.col("node_id").alias("node"))
+    own = nodes.select(F.col("node").cast("bigint").alias("node"), (-1 - F.col("node")).cast("bigint").alias("hub"), F.lit(0).cast("bigint").alias("d"))
+    out, into = (hierarchy.ancestor_labels(nodes, metric, forward).unionByName(own) for forward in (True, False))
+    return out, into
 
 
 @query("J8_G18_hub_labels", f"{_ALL} SELECT q.source, q.target, CAST(d.d AS BIGINT) AS dist FROM (SELECT DISTINCT source, target FROM ({_STQ}) x) q JOIN d5 d ON d.s = q.source AND d.v = q.target")
