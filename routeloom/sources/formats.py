@@ -239,3 +239,48 @@ def carried(lines: DataFrame) -> DataFrame:
         phase[4].cast("bigint").alias("phase_ns"),
         duration.alias("duration"),
     )
+
+
+def model_dump(spark: SparkSession, path: str) -> DataFrame:
+    """Records of four lines (INVOCATION, PARAMS, DENSITIES, SPEEDS): record, model and lists.
+
+    A running count of first lines gives each line its record.
+    """
+    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    kv = F.split(F.trim("value"), r"\|", 2)
+    lines = numbered_lines(spark, path).where(F.col("value").contains("|")).select("line", kv[0].alias("key"), kv[1].alias("rest"))
+    lines = lines.withColumn("record", F.count_if(F.col("key") == "INVOCATION").over(w) - 1)
+    numbers = lambda key: F.transform(F.filter(F.split(F.max(F.when(F.col("key") == key, F.col("rest"))), ","), lambda x: x != ""), lambda x: x.cast("double"))
+    model = F.max(F.when(F.col("key") == "INVOCATION", F.col("rest")))
+    return lines.groupBy("record").agg(model.alias("model"), numbers("PARAMS").alias("params"), numbers("DENSITIES").alias("densities"), numbers("SPEEDS").alias("speeds"))
+
+
+def query_set(spark: SparkSession, folder: str, names: dict[str, str]) -> DataFrame:
+    """Queries from a folder of raw column files: query_id and a column for each file's type."""
+    out = None
+    for name, kind in names.items():
+        c = vector(spark, f"{folder}/{name}", kind).select(F.col("i").alias("query_id"), F.col("value").alias(name))
+        out = c if out is None else out.join(c, "query_id")
+    return out
+
+
+def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """An object that is stored as one Parquet table per part."""
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def td_edges(edges: DataFrame, first_point: DataFrame, at: DataFrame, val: DataFrame, scale: float | None = None) -> DataFrame:
+    """Edges with travel-time functions from vectors (i, value): points of edge e are those in
+    its range of ``first_point``. ``scale`` divides both columns, as 1000 does for seconds."""
+    nxt = F.lead("value").over(Window.orderBy("i"))
+    ranges = first_point.select(F.col("i").alias("edge_id"), F.col("value").alias("a"), nxt.alias("b")).where("b > a")
+    each = ranges.select("edge_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("k"))
+    cut = lambda df, name: df.select(F.col("i").alias("k"), (F.col("value") / scale if scale else F.col("value")).alias(name))
+    points = each.join(cut(at, "at"), "k").join(cut(val, "val"), "k")
+    f = points.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("at", "val"))).alias("f"))
+    return edges.join(f, "edge_id", "left")
+
+
+def encoded(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Numbers, one a line, as a column with its place; what is no number is null."""
+    return numbered_lines(spark, path).where("value <> ''").select(F.col("line").cast("bigint").alias("i"), F.trim("value").try_cast(kind).alias("value"))

@@ -116,3 +116,36 @@ def gap_lines(gaps: DataFrame) -> DataFrame:
     """Relative gaps by iteration with nine decimals."""
     w = Window.orderBy("iteration")
     return gaps.withColumn("_k", F.row_number().over(w)).orderBy("_k").select(F.format_string("%.9f", "gap").alias("value"))
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """An object as one Parquet table per part."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def write_report(values: dict[str, object], runs: DataFrame, path: str) -> None:
+    """A report as JSON lines: the run's values beside each of its measured rows."""
+    named = [F.lit(v).alias(k) for k, v in values.items()]
+    runs.select(*named, *runs.columns).write.mode("overwrite").json(path)
+
+
+def link_lines(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """Lines 'tail,head,length,linkId,direction' of edges and the links they come from."""
+    j = edges.join(links, "edge_id")
+    text = F.concat_ws(",", *[F.col(c).cast("string") for c in ("tail", "head", "length", "link_id", "direction")])
+    return j.orderBy("edge_id").select(text.alias("value"))
+
+
+def demand_lines(queries: DataFrame) -> DataFrame:
+    """Lines 'source time target rank' of a query set, by query; times in seconds."""
+    text = F.format_string("%d %.3f %d %d", "source", F.col("departure") / 1000, "target", F.coalesce("rank", F.lit(0)))
+    return queries.orderBy("query_id").select(text.alias("value"))
+
+
+def box_edges(edges: DataFrame, nodes: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
+    """What a map of a box draws: edges with an end in it, and both ends' coordinates."""
+    a = nodes.select(F.col("node_id").alias("tail"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    b = nodes.select(F.col("node_id").alias("head"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    inside = lambda k: F.col(f"lat{k}").between(*lat) & F.col(f"lon{k}").between(*lon)
+    return edges.join(a, "tail").join(b, "head").where(inside(1) | inside(2))

@@ -164,3 +164,31 @@ def test_matsim_and_ttf(spark, tmp_path):
     assert tuple(formats.matsim_trips(spark, str(tmp_path / "m.csv")).first()) == ("5-1", "e7", "e8", 90601.0)
     f = spark.createDataFrame([(1, 0, 5), (1, 10, 5)], "edge_id int, at bigint, val bigint").groupBy("edge_id").agg(ttf.collect().alias("f"))
     assert [tuple(p) for p in f.select(ttf.normalised(F.col("f"), 24).alias("f")).first().f] == [(0, 5)]
+
+
+def test_more_formats(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("INVOCATION|Lee\nPARAMS|1.5,2\nDENSITIES|\nSPEEDS|\n\nINVOCATION|Lee\nPARAMS|3\nDENSITIES|1,2\nSPEEDS|30,20.5\n")
+    got = formats.model_dump(spark, str(tmp_path / "m.txt")).orderBy("record").collect()
+    assert [(r.model, r.params, r.densities, r.speeds) for r in got] == [("Lee", [1.5, 2.0], [], []), ("Lee", [3.0], [1.0, 2.0], [30.0, 20.5])]
+    for name, v in (("source", [4, 5]), ("target", [6, 7])):
+        np.array(v, "<u4").tofile(tmp_path / name)
+    q = formats.query_set(spark, str(tmp_path), {"source": "u4", "target": "u4"})
+    assert sorted(map(tuple, q.collect())) == [(0, 4, 6), (1, 5, 7)]
+    for name, v in (("fp", [0, 1, 3]), ("at", [0, 0, 500]), ("val", [10, 20, 30])):
+        np.array(v, "<u4").tofile(tmp_path / name)
+    read = lambda n: formats.vector(spark, str(tmp_path / n), "u4")
+    e = spark.createDataFrame([(0, 1, 2), (1, 2, 1)], "edge_id bigint, tail int, head int")
+    t = {r.edge_id: [tuple(p) for p in r.f] for r in formats.td_edges(e, read("fp"), read("at"), read("val"), 1000.0).collect()}
+    assert t == {0: [(0.0, 0.01)], 1: [(0.0, 0.02), (0.5, 0.03)]}
+    (tmp_path / "n.txt").write_text("5\nx\n7\n")
+    assert [r.value for r in formats.encoded(spark, str(tmp_path / "n.txt"), "int").orderBy("i").collect()] == [5, None, 7]
+    sinks.write_tables({"e": e}, str(tmp_path / "obj"))
+    assert formats.read_tables(spark, str(tmp_path / "obj"), ["e"])["e"].count() == 2
+    sinks.write_report({"program": "x"}, e, str(tmp_path / "rep"))
+    assert spark.read.json(str(tmp_path / "rep")).where("program = 'x'").count() == 2
+    links = spark.createDataFrame([(0, 9.5, 77, "F")], "edge_id bigint, length double, link_id bigint, direction string")
+    assert [r.value for r in sinks.link_lines(e, links).collect()] == ["1,2,9.5,77,F"]
+    d = spark.createDataFrame([(0, 1, 2, 1500, None)], "query_id int, source int, target int, departure bigint, rank int")
+    assert [r.value for r in sinks.demand_lines(d).collect()] == ["1 1.500 2 0"]
+    n = spark.createDataFrame([(1, 5.0, 5.0), (2, 50.0, 5.0)], "node_id int, lat double, lon double")
+    assert sinks.box_edges(e, n, (0, 10), (0, 10)).count() == 2
