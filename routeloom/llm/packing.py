@@ -17,9 +17,9 @@ CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Documents are dealt over about one bucket for so many pieces when pieces are numbered.
-BUCKET_PIECES = 20_000
-#: Entries of the cache of encoded chunks, after which it starts anew.
-CACHE = 150_000
+BUCKET_PIECES = 4_000
+#: Entries of the cache of encoded words, after which it starts anew.
+CACHE = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -29,38 +29,46 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The byte-level vocabulary's letter for each byte: itself where it is printable, else
+    the next free letter from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class Encoder(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes, by the ``tokenizers`` library.
 
-    The byte-level pre-tokenizer starts a new token before each white-space character that
-    stands alone between two others, so a text can be cut there and each chunk's ids kept.
-    Texts with two white-space characters in a row, or one at an end, go to the library whole.
+    Texts of ASCII and Latin-1 letters, where the byte-level pre-tokenizer's classes are
+    beyond doubt, are cut into its words here, and each distinct word goes through the
+    library's BPE model once. All other texts go to the library whole.
     """
 
-    _apart = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-    _chunks = re.compile(r"[ \n]?[^ \n]+")
+    _plain = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ÿ]*")
+    _words = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-zÀ-ÖØ-öø-ÿ0-9]+|[ \n]+(?![^ \n])|[ \n]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._library = Tokenizer.from_file(path)
+        self._model = self._library.model
+        self._letters = {b: c for b, c in enumerate(_byte_letters())}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self._ids(chunk)
-        if len(chunk) < 64:
-            self[chunk] = ids
+        letters = word.encode().decode("latin-1").translate(self._letters)
+        ids = np.array([t.id for t in self._model.tokenize(letters)], dtype="<u4").tobytes()
+        if len(word) < 64:
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or self._apart.search(text):
-            return self._ids(text)
-        return b"".join(map(self.__getitem__, self._chunks.findall(text)))
+        if "<|" in text or not self._plain.fullmatch(text):
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.__getitem__, self._words.findall(text)))
 
 
 _encoders: dict[str, Encoder] = {}
