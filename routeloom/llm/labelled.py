@@ -16,6 +16,18 @@ def fold_of(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
 
+def bounded(rows: DataFrame, limit: int, seed: str) -> DataFrame:
+    """At most ``limit`` rows in the order of a hash of doc_id.
+
+    Of many rows, a share that holds about twice the limit is taken by the hash first: each
+    task would else send its own ``limit`` smallest to the driver.
+    """
+    n = rows.count()
+    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    few = rows.where(u < 2 * limit / n) if n > 2 * limit else rows
+    return few.orderBy(u, "doc_id").limit(limit)
+
+
 def sample_ids(labels: DataFrame, label: str, learn: Column, per_class: int) -> list[tuple[int, int]]:
     """At most ``per_class`` (doc_id, label) of each class, in the order of a hash of the id.
 
@@ -24,8 +36,7 @@ def sample_ids(labels: DataFrame, label: str, learn: Column, per_class: int) ->
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     out = []
     for y in (0, 1):
-        top = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        out += [(r["doc_id"], y) for r in top.collect()]
+        out += [(r["doc_id"], y) for r in bounded(rows.where(F.col("y") == y), per_class, "labels").collect()]
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm.common import small_batches, table, written
-from routeloom.llm.labelled import fold
+from routeloom.llm.labelled import bounded, fold
 
 #: Trusted positives and unlabelled documents that the classifier is fitted to, at most.
 POSITIVES, UNLABELLED = 6000, 12000
@@ -161,12 +161,12 @@ def train(measured: DataFrame, labels: DataFrame, modulus: int = 3) -> tuple[Net
     the histogram from which the prior is estimated covers every document.
     """
     good = labels.where((fold(modulus) != 1) & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    ids = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
+    ids = bounded(good, POSITIVES, "positives")
     rows = measured.join(F.broadcast(ids), "doc_id").select("doc_id", "f").orderBy("doc_id").collect()
     if not rows:
         return None
     p = np.array([r["f"] for r in rows], float)
-    u_rows = measured.orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(UNLABELLED).collect()
+    u_rows = bounded(measured, UNLABELLED, "unlabelled").collect()
     u = np.array([r["f"] for r in u_rows], float)
     half = max(1, len(p) // 2)
     first = fit(p[:half], u, None)
