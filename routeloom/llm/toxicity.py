@@ -8,6 +8,7 @@ tagged whole by forward-backward marginals.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,18 +23,20 @@ from routeloom.llm.common import small_batches, table
 from routeloom.llm.labelled import fold, sample_ids, texts_of
 
 #: Documents of each class that the field is fitted to, at most.
-PER_CLASS = 2500
-#: A word or prefix marks toxic tokens if so many toxic documents have it, and at most this
-#: share of the other ones, against its share of the toxic.
-MIN_DOCS = 8
+PER_CLASS = 4000
+#: A word or prefix marks toxic tokens if so many toxic documents have it, in number and as a
+#: share, and at most MAX_SHARE of that share of the others.
+MIN_DOCS, MIN_SHARE = 8, 0.01
 MAX_SHARE = 0.02
 PREFIXES = (4, 5, 6)
 HASH_BITS = 18
 CONTEXT = 5
-#: Marginals below this don't count towards a document's score.
-FLOOR = 0.2
+#: Marginals below this don't add up to a document's score.
+FLOOR = 0.5
 WORD = re.compile(r"[^ \t\n\v\f\r]+")
 CACHE = 300_000
+#: Documents of each class that the scores are calibrated on, at most.
+CALIBRATE = 500
 
 
 def features(word: str) -> list[str]:
@@ -55,7 +58,7 @@ def markers(sample: list[tuple[str, int]]) -> set[str]:
         df[y].update({f for w in set(WORD.findall(text)) for f in features(w) if f[0] != "s"})
     if not n[0] or not n[1]:
         return set()
-    return {f for f, k in df[1].items() if k >= MIN_DOCS and df[0][f] / n[0] <= MAX_SHARE * k / n[1]}
+    return {f for f, k in df[1].items() if k >= max(MIN_DOCS, MIN_SHARE * n[1]) and df[0][f] / n[0] <= MAX_SHARE * k / n[1]}
 
 
 @dataclass
@@ -67,6 +70,9 @@ class Field:
     right: np.ndarray
     bias: float
     trans: np.ndarray  # log-potentials [from, to]
+    #: A document's score is the logistic of scale * logit(chance that a word is toxic) + shift.
+    scale: float = 1.0
+    shift: float = 0.0
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, last: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -208,26 +214,30 @@ class Tagger(dict):
 
     def __init__(self, field: Field) -> None:
         super().__init__()
-        self.field, self.rows = field, []
+        # Plain lists and growing arrays: single numbers are read and added there many times
+        # faster than in numpy's, and a batch sees the arrays' memory without a copy.
+        self.field, self.rows = field, array("d")
+        self.own, self.left, self.right = field.own.tolist(), field.left.tolist(), field.right.tolist()
 
     def __missing__(self, word: bytes) -> int:
         slots = [_slot(f) for f in features(word.decode("utf-8", "replace"))]
-        f = self.field
-        self.rows.append((f.own[slots].sum(), f.left[slots[0]], f.right[slots[0]]))
-        self[word] = n = len(self.rows) - 1
+        own = self.own
+        n = len(self.rows) // 3
+        self.rows.extend((sum([own[s] for s in slots]), self.left[slots[0]], self.right[slots[0]]))
+        self[word] = n
         return n
 
     def tag(self, texts: list[bytes]) -> list[np.ndarray]:
         """The marginals of each text's words."""
         if len(self) > CACHE:
             self.clear()
-            self.rows.clear()
+            self.rows = array("d")
         split = [t.split() for t in texts]  # bytes: at ASCII white space only
         index = np.array([self[w] for words in split for w in words], np.int64)
         lengths = np.array([len(w) for w in split])
         if not len(index):
             return [np.zeros(0) for _ in texts]
-        own, left, right = np.array(self.rows).T
+        own, left, right = np.frombuffer(self.rows, float).reshape(-1, 3).copy().T
         ends = np.cumsum(lengths)
         first, last = np.zeros(len(index), bool), np.zeros(len(index), bool)
         last[ends[lengths > 0] - 1] = True
@@ -238,11 +248,48 @@ class Tagger(dict):
         return np.split(marginals(emit, first, last, self.field.trans), ends[:-1])
 
 
-def score(p: np.ndarray) -> float:
-    """The chance that some word is toxic; marginals below FLOOR, of which a long text has
-    many, are left out."""
+def chance(p: np.ndarray) -> float:
+    """The chance that some word is toxic, over the words that more likely are than not; where
+    there is none, the largest marginal. A long text's many small ones don't add up."""
     high = p[p >= FLOOR]
-    return float(1 - np.prod(1 - high)) if len(high) else float(0.5 * p.max(initial=0.0))
+    return float(1 - np.prod(1 - high)) if len(high) else float(p.max(initial=0.0))
+
+
+def _logit(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, 1e-9, 1 - 1e-9)
+    return np.log(x / (1 - x))
+
+
+def score(field: Field, chances: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(field.scale * _logit(chances) + field.shift, -30, 30)))
+
+
+def calibrate(field: Field, sample: list[tuple[str, int]]) -> Field:
+    """Scale and shift by logistic regression on at most CALIBRATE documents of each class, with
+    targets a little off 0 and 1 (Platt), so that classes that lie apart get a middle threshold."""
+    chosen = []
+    for y in (0, 1):
+        of = [t for t, label in sample if label == y]
+        chosen += [(t, y) for t in of[:: max(1, len(of) // CALIBRATE)]]
+    y = np.array([label for _, label in chosen], float)
+    n0, n1 = (y == 0).sum(), (y == 1).sum()
+    if not n0 or not n1:
+        return field
+    tagger = Tagger(field)
+    z = _logit(np.array([chance(p) for at in range(0, len(chosen), 100) for p in tagger.tag([t.encode() for t, _ in chosen[at : at + 100]])]))
+    want = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g = np.array([(weight * (q - want) * z).sum() + 1e-4 * a, (weight * (q - want)).sum()])
+        h = weight * q * (1 - q)
+        hess = np.array([[(h * z * z).sum() + 1e-4, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+        step = np.linalg.solve(hess, g)
+        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
+    if a > 0:
+        field.scale, field.shift = float(a), float(b)
+    return field
 
 
 def spans(text: str, p: np.ndarray) -> list[tuple[int, int]]:
@@ -264,7 +311,8 @@ OUT = "doc_id bigint, score double, n_words bigint, spans array<struct<start:big
 
 def _score(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(broadcast.value)
+        field = broadcast.value
+        tagger = Tagger(field)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
@@ -274,7 +322,7 @@ def _score(broadcast):
                 if held > 4_000_000 or k == len(texts) - 1:
                     found += tagger.tag(texts[at : k + 1])
                     at, held = k + 1, 0
-            scores = [score(p) for p in found]
+            scores = score(field, np.array([chance(p) for p in found]))
             marked = [[{"start": s, "end": e} for s, e in spans(t.decode(), p)] if len(p) and p.max() >= 0.5 else [] for t, p in zip(texts, found, strict=True)]
             rest = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
             names = [n for n in b.schema.names if n != "text"]
@@ -286,7 +334,8 @@ def _score(broadcast):
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_class: int = PER_CLASS) -> Field:
     """A field fitted to at most ``per_class`` documents of each class from the folds 1 to 4."""
     learn = fold(modulus) != 0
-    return fit(texts_of(docs, sample_ids(labels, "toxic", learn, per_class)))
+    sample = texts_of(docs, sample_ids(labels, "toxic", learn, per_class))
+    return calibrate(fit(sample), sample)
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
