@@ -25,6 +25,12 @@ PAIR_BUCKET = 24
 #: Generator polynomial of the perfect binary Golay code of length 23.
 GOLAY = 0xC75
 BATCH_SHINGLES = 1 << 16
+#: The pipeline's stage also links texts whose sets of 5-word shingles have at least this
+#: Jaccard similarity.
+STAGE_WORDS = 5
+STAGE_SIMILARITY = 0.8
+#: Candidates share one of 25 bands of 5 minima: of pairs at 0.8, all but 1 in 20,000 do.
+BANDS, BAND_MINIMA = 25, 5
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -145,21 +151,143 @@ def links(prints: DataFrame, max_pairs: int = PAIR_BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles of so many words, ascending; a shorter text is one shingle."""
+    split = text.lower().split() if text else []
+    if not split:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, SEED) for w in split], np.uint64)
+    size = min(words, len(h))
+    n = len(h) - size + 1
+    g = np.full(n, size, np.uint64)
+    for k in range(size):
+        g = _mixed(g * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+    return np.unique(g)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(1)
+def _minima_seeds() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    draw = lambda: rng.integers(0, 1 << 64, (BANDS * BAND_MINIMA, 1), np.uint64, endpoint=False)
+    return draw(), draw() | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of its number and of its minima over the shingles."""
+    xor, times = _minima_seeds()
+    least = np.full(BANDS * BAND_MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, ((shingles[None, at : at + 1024] ^ xor) * times).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_MINIMA).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes, keys, prints = [], [], []
+        for t in b.column("text").cast(pa.binary()).to_pylist():
+            shingles = shingle_set(t, STAGE_WORDS)
+            prints.append(fingerprint(t))
+            sizes.append(len(shingles))
+            keys.append(band_keys(shingles) if len(shingles) else [])
+        columns = [b.column("doc_id"), b.column("th"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "fp", "n", "keys"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(t, STAGE_WORDS).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(sets, pa.binary())], names=["th", "shingles"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("a_set").to_pylist(), b.column("b_set").to_pylist(), strict=True):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both / (len(p) + len(q) - both) >= STAGE_SIMILARITY)
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a_fp").filter(mask), b.column("b_fp").filter(mask)], names=["src", "dst"])
+
+
+def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges between the fingerprints of those ``pairs`` (a, b, a_fp, b_fp; a and b are texts'
+    hashes) whose shingle sets are as similar as is asked for."""
+    need = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    # Written, as copies of one text may be many, and are dropped before they meet.
+    texts = written(docs.select("text", text_key().alias("th")).join(written(need, "asked"), "th").select("th", "text"), "asked_texts")
+    sets = written(texts.dropDuplicates(["th"]).mapInArrow(_shingle_sets, "th bigint, shingles binary"), "shingles")
+    side = lambda x: sets.select(F.col("th").alias(x), F.col("shingles").alias(x + "_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_fp", "b_fp", "a_set", "b_set")
+    return written(both.mapInArrow(_verified, "src bigint, dst bigint"), "similar")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
+    """``near``, the edges of ``links``, and edges that connect all texts that share a band
+    and whose 5-word shingle sets have a similarity of ``STAGE_SIMILARITY``.
+
+    Every candidate is verified on whole shingle sets. A band of many near copies isn't
+    squared: each text is first compared with one of its band, and then only texts that
+    are still in different components are compared in pairs, none left out.
+    """
+    once = written(rows.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"]), "texts_once")
+
+    def shared(edges: DataFrame) -> DataFrame:
+        """Texts in those bands that hold texts of different components."""
+        labels = connected_components(edges).select(F.col("node").alias("fp"), "label")
+        labelled = once.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        keyed = labelled.select("th", "fp", "n", "label", F.explode("keys").alias("key"))
+        # The band's text that others are compared with is another in each band.
+        hub = F.min(F.struct(F.xxhash64("th", "key").alias("o"), "th", "fp", "n", "label")).alias("hub")
+        mixed = written(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo < hi").select("key", "hub"), "hubs")
+        return written(keyed.join(mixed, "key"), "bands")
+
+    def pairs(of: DataFrame) -> DataFrame:
+        """Distinct pairs, but for those whose sizes alone rule the similarity out."""
+        close = F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= STAGE_SIMILARITY
+        return of.where(close).select("a", "b", "a_fp", "b_fp").distinct()
+
+    side = lambda x, c: [F.col(f"{c}th").alias(x), F.col(f"{c}fp").alias(x + "_fp"), F.col(f"{c}n").alias(x + "_n")]
+    stars = written(pairs(shared(near).where("label <> hub.label").select(*side("a", ""), *side("b", "hub."))), "stars")
+    edges = written(near.unionByName(_similar(stars, docs)).distinct(), "near")
+    left = shared(edges)
+    cross = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
+    tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = written(pairs(cross.select(*side("a", "x."), *side("b", "y."))).join(tested, ["a", "b"], "left_anti"), "rest")
+    return written(edges.unionByName(_similar(rest, docs)).distinct(), "near")
+
+
+def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), fp, rep_id, rep_th.
 
     ``rep_id`` and ``rep_th`` name the group's representative: the row with the smallest
     doc_id (null last, ties by the text's hash) among all that chains of linked
-    fingerprints reach. Uses columns doc_id and text; others are ignored. Null and empty
+    fingerprints reach; with ``similar``, also over links between texts of similar 5-word
+    shingle sets. Uses columns doc_id and text; others are ignored. Null and empty
     texts have fingerprint zero and are linked like any other. Rows repeated with one id
     and text share a representative. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    # Texts go to Python once; everything after this table works on 24 bytes a row.
-    rows = written(docs.select("doc_id", "text", text_key().alias("th")).mapInArrow(_fingerprints, "doc_id bigint, th bigint, fp bigint"), "prints")
+    # Everything after this table works on a few numbers a row; with ``similar``, only texts
+    # of candidates go to Python again.
+    kernel, kind = (_signatures, ", n int, keys array<bigint>") if similar else (_fingerprints, "")
+    rows = written(docs.select("doc_id", "text", text_key().alias("th")).mapInArrow(kernel, "doc_id bigint, th bigint, fp bigint" + kind), "prints")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("th"))).alias("lead")
     prints = written(rows.groupBy("fp").agg(lead), "distinct")
-    labels = connected_components(links(prints.select("fp"))).select(F.col("node").alias("fp"), "label")
+    near = links(prints.select("fp"))
+    if similar:
+        near = similar_links(docs, rows, written(near, "links"))
+    labels = connected_components(near).select(F.col("node").alias("fp"), "label")
     grouped = written(prints.join(labels, "fp").select("fp", "label", "lead"), "grouped")
     leads = written(grouped.groupBy("label").agg(F.min("lead").alias("group_lead")), "leads")
     merged = grouped.join(leads, "label").select("fp", "group_lead")
@@ -177,8 +305,12 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: its representative."""
-    found = near_duplicates(docs)
+    """``docs`` with one row of each group of near-duplicates: its representative.
+
+    Texts are linked as in op9 and, beyond that, at a Jaccard similarity of 0.8 of their
+    5-word shingles.
+    """
+    found = near_duplicates(docs, similar=True)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
     # Rows alike in id and text are one document: the first of them by its partition's order stays.
     once = keep.groupBy("k_id", "k_th").agg(F.count(F.lit(1)).alias("k_n"))

@@ -89,3 +89,40 @@ def test_edges(spark):
     kept = simhash.dedup_stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
+
+
+def brute_similar(texts):
+    """Smallest id of each component over links of two bits or of 5-word similarity 0.8."""
+    shingles = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    rep = brute_components({i: brute_print(t) for i, t in texts.items()})
+    for a, b in combinations(sorted(texts), 2):
+        if len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8 and rep[a] != rep[b]:
+            lo, hi = sorted((rep[a], rep[b]))
+            rep = {i: lo if r == hi else r for i, r in rep.items()}
+    return rep
+
+
+def test_stage_links_similar_texts(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(500)]
+    texts, i = {}, 0
+    for size in (6, 40, 120, 400):
+        for _ in range(6):
+            words = list(rng.choice(vocabulary, size))
+            for share in (0, 0.01, 0.02, 0.03, 0.2):  # copies ever further away, in a chain
+                for k in rng.choice(size, int(share * size), replace=False):
+                    words[k] = f"new{i}"
+                texts[i], i = " ".join(words), i + 1
+    star = list(rng.choice(vocabulary, 100))
+    for k in range(100):  # a crowd around one text, most of it not similar among itself
+        texts[i], i = " ".join([*star[: k], f"x{k}", *star[k + 1 :]]), i + 1
+    texts[i], texts[i + 1] = "a b c d e f g h i", "a b c d e f g h i j"  # five and six shingles: 0.83
+    want = brute_similar(texts)
+    two_bits = brute_components({i: brute_print(t) for i, t in texts.items()})
+    assert len(set(want.values())) < len(set(two_bits.values()))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.rep_id for r in simhash.near_duplicates(docs, similar=True).collect()} == want
+    assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, "").collect()) == sorted(set(want.values()))
