@@ -252,6 +252,20 @@ def _(t):
     return network.varying_profiles(p, 1, 4).select("tail", "head", F.array_join("speeds", ",").alias("speeds"))
 
 
+# Hourly totals of all roads: a group has 24 hours at most, however many roads it has.
+@query(
+    "P33_whole_profiles",
+    """WITH h AS (SELECT tail, head, priority, road_id % 24 AS hour, CAST(sum(lanes) AS BIGINT) AS lanes, max(road_id) AS position FROM {roads} GROUP BY ALL),
+    v AS (SELECT tail, head, priority, list(lanes ORDER BY hour) AS speeds, max(position) AS position FROM h GROUP BY ALL)
+    SELECT tail, head, array_to_string(arg_max(speeds[2:4], position), ',') AS speeds FROM v WHERE len(list_distinct(speeds)) > 1 GROUP BY tail, head""",
+)
+def whole_profiles(t):
+    h = t.roads.groupBy("tail", "head", "priority", (F.col("road_id") % 24).alias("hour")).agg(F.sum("lanes").alias("lanes"), F.max("road_id").alias("position"))
+    lanes = F.transform(F.sort_array(F.collect_list(F.struct("hour", "lanes"))), lambda x: x["lanes"])
+    p = h.groupBy("tail", "head", "priority").agg(lanes.alias("speeds"), F.max("position").alias("position"))
+    return network.varying_profiles(p, 1, 4).select("tail", "head", F.array_join("speeds", ",").alias("speeds"))
+
+
 @query("A8_csr", "SELECT n.node_id, count(e.edge_id) AS degree, CAST(coalesce(sum(count(e.edge_id)) OVER (ORDER BY n.node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_out FROM {places} n LEFT JOIN {edges} e ON e.tail = n.node_id GROUP BY n.node_id")
 def _(t):
     return network.csr(t.edges, t.places)
