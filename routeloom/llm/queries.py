@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_rule_ledger": rules.ORACLE,
-    "op6_toxicity_crf": toxicity.op6_toxicity_crf,
     "op7_line_winnowing": linededup.ORACLE,
 }

@@ -63,3 +63,9 @@ def test_stage_keeps_columns(spark, tmp_path):
     out = toxicity.toxicity_stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([*range(60), None], key=str)
+
+
+def test_oracle_sql_is_text():
+    from routeloom.llm import queries
+
+    assert all(isinstance(sql, str) for sql in queries.ORACLE_SQL.values()) and "op6_toxicity_crf" in queries.QUERIES
