@@ -48,6 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a written table of a few numbers a row is broadcast.
+SMALL_ROWS = 2_000_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, marked for broadcast if its count allows it;
+    a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import small_batches, table, text_key, written
+from routeloom.llm.common import if_small, small_batches, table, text_key, written
 from routeloom.llm.components import connected_components
 
 SEED = 42
@@ -25,12 +25,18 @@ PAIR_BUCKET = 24
 #: Generator polynomial of the perfect binary Golay code of length 23.
 GOLAY = 0xC75
 BATCH_SHINGLES = 1 << 16
-#: The pipeline's stage also links texts whose sets of 5-word shingles have at least this
-#: Jaccard similarity.
+#: The pipeline's stage links texts whose sets of 5-word shingles have this Jaccard similarity.
 STAGE_WORDS = 5
 STAGE_SIMILARITY = 0.8
-#: Candidates share one of 25 bands of 5 minima: of pairs at 0.8, all but 1 in 20,000 do.
-BANDS, BAND_MINIMA = 25, 5
+#: Its fingerprints are wider, 24 segments of a Golay word each, over 2-word shingles. Two texts
+#: are candidates if, for one of the first KEYS segments, both are near one codeword and EXACT bits
+#: of another segment agree.
+WIDE_SEGMENTS, WIDE_WORDS, KEYS, EXACT = 24, 2, 16, 16
+#: Candidates further apart than this are no match: of pairs at a similarity of 0.8 or more,
+#: about 1 in 500 is.
+WIDE_BITS = 76
+#: Rounds in which texts are compared with one text of a bucket, before all that are left are.
+STAR_ROUNDS = 3
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -85,6 +91,16 @@ def golay_index(v: np.ndarray) -> np.ndarray:
     return (v ^ error[s]) >> 11
 
 
+def _near_codewords(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and codeword indices, each once, of all words within one of so many bits."""
+    near = [golay_index(words)] + [golay_index(words ^ (1 << b)) for b in range(bits)]
+    index = np.sort(np.stack(near, axis=1), axis=1)
+    first = np.ones(index.shape, bool)
+    first[:, 1:] = index[:, 1:] != index[:, :-1]
+    r, c = np.nonzero(first)
+    return r, index[r, c]
+
+
 def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions into ``fp`` and keys. Two words at most two bits apart share a key.
 
@@ -98,13 +114,9 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows, keys = [], []
     for i, exact in enumerate(segments):
         j = (i + 1) % 3
-        near = [golay_index(segments[j])] + [golay_index(segments[j] ^ (1 << b)) for b in range(SEGMENTS[j][1])]
-        index = np.sort(np.stack(near, axis=1), axis=1)
-        first = np.ones(index.shape, bool)
-        first[:, 1:] = index[:, 1:] != index[:, :-1]
-        r, c = np.nonzero(first)
+        r, index = _near_codewords(segments[j], SEGMENTS[j][1])
         rows.append(r)
-        keys.append((i << 40) | (exact[r] << 12) | index[r, c])
+        keys.append((i << 40) | (exact[r] << 12) | index)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -151,61 +163,77 @@ def links(prints: DataFrame, max_pairs: int = PAIR_BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """Hashes of a text's distinct shingles of so many words, ascending; a shorter text is one shingle."""
-    split = text.lower().split() if text else []
-    if not split:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w, SEED) for w in split], np.uint64)
-    size = min(words, len(h))
-    n = len(h) - size + 1
-    g = np.full(n, size, np.uint64)
-    for k in range(size):
-        g = _mixed(g * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(g)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1)
-def _minima_seeds() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    draw = lambda: rng.integers(0, 1 << 64, (BANDS * BAND_MINIMA, 1), np.uint64, endpoint=False)
-    return draw(), draw() | np.uint64(1)
+def _shingles(text: bytes | None, words: int) -> np.ndarray:
+    """Hashes of a text's shingles of so many words, repeats included; a shorter text is one
+    shingle, and so is a text without words."""
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in text.lower().split()] if text else [], np.uint64)
+    size = max(1, min(words, len(h)))
+    g = np.full(max(1, len(h) - size + 1), min(size, len(h)), np.uint64)
+    for k in range(min(size, len(h))):
+        g = _mixed(g * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(g)])
+    return g
+
 
+def shingle_set(text: bytes | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """Hashes of a text's distinct shingles, ascending."""
+    return np.unique(_shingles(text, words))
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key for each band: a hash of its number and of its minima over the shingles."""
-    xor, times = _minima_seeds()
-    least = np.full(BANDS * BAND_MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        least = np.minimum(least, ((shingles[None, at : at + 1024] ^ xor) * times).min(axis=1))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_MINIMA).T:
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
 
+def wide_print(text: bytes | None) -> np.ndarray:
+    """A SimHash of 576 bits, as nine words: over 2-word shingles, repeats included."""
+    g, lanes = _shingles(text, WIDE_WORDS), -(-WIDE_SEGMENTS * 23 // 64)
+    counts = np.zeros(64 * lanes, np.int64)
+    salts = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[None]
+    for at in range(0, len(g), 255):  # so many ones fit in a byte
+        bits = np.unpackbits(_mixed(g[at : at + 255, None] + salts).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * counts > len(g), bitorder="little").view(np.int64)
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sizes, keys, prints = [], [], []
-        for t in b.column("text").cast(pa.binary()).to_pylist():
-            shingles = shingle_set(t, STAGE_WORDS)
-            prints.append(fingerprint(t))
-            sizes.append(len(shingles))
-            keys.append(band_keys(shingles) if len(shingles) else [])
-        columns = [b.column("doc_id"), b.column("th"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "fp", "n", "keys"])
+        prints = np.array([wide_print(t) for t in b.column("text").cast(pa.binary()).to_pylist()], np.int64)
+        lanes = [pa.array(c) for c in prints.reshape(-1, -(-WIDE_SEGMENTS * 23 // 64)).T]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *lanes], names=["doc_id", "th", *LANES])
+
+
+LANES = [f"f{k}" for k in range(-(-WIDE_SEGMENTS * 23 // 64))]
+
+
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions into ``prints`` (rows of nine words) and keys: for each of KEYS
+    segments, the indices of the codewords of all words within one bit of it, each with the first
+    bits of a segment further on."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : WIDE_SEGMENTS * 23]
+    segments = bits.reshape(-1, WIDE_SEGMENTS, 23).astype(np.int64) @ (1 << np.arange(23))
+    rows, keys = [], []
+    for i in range(KEYS):
+        word, exact = segments[:, i], segments[:, (i + WIDE_SEGMENTS // 3) % WIDE_SEGMENTS] & (1 << EXACT) - 1
+        r, index = _near_codewords(word, 23)
+        rows.append(r)
+        keys.append((i << 12 + EXACT) | (exact[r] << 12) | index)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        th = b.column("th").to_numpy(zero_copy_only=False)
+        prints = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in LANES], axis=1).astype(np.int64)
+        for at in range(0, len(th), 2000):
+            rows, keys = wide_keys(np.ascontiguousarray(prints[at : at + 2000]))
+            order = np.argsort(rows, kind="stable")  # a text's keys lie together
+            yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(th[at + rows[order]])], names=["key", "th"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t, STAGE_WORDS).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+        sets = [(np.unique(shingle_set(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(sets, pa.binary())], names=["th", "shingles"])
 
 
@@ -213,81 +241,125 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b.column("a_set").to_pylist(), b.column("b_set").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(both / (len(p) + len(q) - both) >= STAGE_SIMILARITY)
         mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a_fp").filter(mask), b.column("b_fp").filter(mask)], names=["src", "dst"])
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["src", "dst"])
 
 
-def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges between the fingerprints of those ``pairs`` (a, b, a_fp, b_fp; a and b are texts'
-    hashes) whose shingle sets are as similar as is asked for."""
-    need = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-    # Written, as copies of one text may be many, and are dropped before they meet.
-    texts = written(docs.select("text", text_key().alias("th")).join(written(need, "asked"), "th").select("th", "text"), "asked_texts")
-    sets = written(texts.dropDuplicates(["th"]).mapInArrow(_shingle_sets, "th bigint, shingles binary"), "shingles")
-    side = lambda x: sets.select(F.col("th").alias(x), F.col("shingles").alias(x + "_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_fp", "b_fp", "a_set", "b_set")
-    return written(both.mapInArrow(_verified, "src bigint, dst bigint"), "similar")
+def _apart(x: str, y: str) -> Column:
+    """Differing bits of two wide fingerprints."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in LANES])
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
-    """``near``, the edges of ``links``, and edges that connect all texts that share a band
-    and whose 5-word shingle sets have a similarity of ``STAGE_SIMILARITY``.
+def similar_links(once: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges ``src``, ``dst`` that connect all texts of a similarity of STAGE_SIMILARITY that share
+    a key; ``once`` has th and the wide fingerprint of each distinct text.
 
-    Every candidate is verified on whole shingle sets. A band of many near copies isn't
-    squared: each text is first compared with one of its band, and then only texts that
-    are still in different components are compared in pairs, none left out.
+    A bucket of many near copies isn't squared: in each of a few rounds its texts are compared
+    with one of them, and of all such pairs each text has the nearest verified on whole
+    shingle sets. Then, in buckets that still hold texts of different components, all pairs across
+    components are compared, and those near enough verified, none left out. Every round
+    leaves fewer such buckets, as it merges what is similar.
     """
-    once = written(rows.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"]), "texts_once")
-
-    def shared(edges: DataFrame) -> DataFrame:
-        """Texts in those bands that hold texts of different components."""
-        labels = connected_components(edges).select(F.col("node").alias("fp"), "label")
-        labelled = once.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        keyed = labelled.select("th", "fp", "n", "label", F.explode("keys").alias("key"))
-        # The band's text that others are compared with is another in each band.
-        hub = F.min(F.struct(F.xxhash64("th", "key").alias("o"), "th", "fp", "n", "label")).alias("hub")
-        mixed = written(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo < hi").select("key", "hub"), "hubs")
-        return written(keyed.join(mixed, "key"), "bands")
-
-    def pairs(of: DataFrame) -> DataFrame:
-        """Distinct pairs, but for those whose sizes alone rule the similarity out."""
-        close = F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= STAGE_SIMILARITY
-        return of.where(close).select("a", "b", "a_fp", "b_fp").distinct()
-
-    side = lambda x, c: [F.col(f"{c}th").alias(x), F.col(f"{c}fp").alias(x + "_fp"), F.col(f"{c}n").alias(x + "_n")]
-    stars = written(pairs(shared(near).where("label <> hub.label").select(*side("a", ""), *side("b", "hub."))), "stars")
-    edges = written(near.unionByName(_similar(stars, docs)).distinct(), "near")
-    left = shared(edges)
-    cross = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
-    tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(pairs(cross.select(*side("a", "x."), *side("b", "y."))).join(tested, ["a", "b"], "left_anti"), "rest")
-    return written(edges.unionByName(_similar(rest, docs)).distinct(), "near")
-
-
-def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
+    keys = written(once.mapInArrow(_wide_keys, "key bigint, th bigint"), "keys")
+    many = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
+    shared = written(keys.join(many, "key"), "buckets")
+    side = lambda x: once.select(F.col("th").alias(x), *[F.col(c).alias(x + c) for c in LANES])
+    edges = tested = have = None
+
+    def labelled() -> DataFrame:
+        if edges is None:
+            return shared.withColumn("label", F.col("th"))
+        labels = connected_components(edges).select(F.col("node").alias("th"), "label")
+        return shared.join(labels, "th", "left").withColumn("label", F.coalesce("label", "th"))
+
+    def verified(pairs: DataFrame) -> bool:
+        """Adds the pairs that are similar to the edges; false if there was none to look at."""
+        nonlocal edges, tested, have
+        pairs = written(pairs.select("a", "b"), "pairs")
+        if edges is not None and pairs.isEmpty():
+            return False
+        asked = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+        asked = written(asked if have is None else asked.join(have, "th", "left_anti"), "asked")
+        more = written(sets(asked), "shingles")
+        have = more if have is None else have.unionByName(more)
+        one = lambda x: have.select(F.col("th").alias(x), F.col("shingles").alias(x + "_set"))
+        found = written(pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(_verified, "src bigint, dst bigint"), "similar")
+        edges = found if edges is None else edges.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        return True
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        if tested is None:
+            return pairs
+        both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return pairs.join(both, ["a", "b"], "left_anti")
+
+    for r in range(STAR_ROUNDS):
+        buckets = written(labelled(), "labelled")
+        hub = F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("o"), "th", "label")).alias("hub")
+        mixed = written(buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo < hi").select("key", "hub"), "hubs")
+        met = buckets.join(mixed, "key").where("label <> hub.label").select(F.col("th").alias("a"), F.col("hub.th").alias("b")).distinct()
+        near = untested(met).join(side("a"), "a").join(side("b"), "b").withColumn("d", _apart("a", "b")).where(F.col("d") <= WIDE_BITS)
+        best = near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+        if not verified(best):
+            break
+    buckets = written(labelled(), "labelled")
+    mixed = written(buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
+    # All that is left, with fingerprints at hand, so that a pair too far apart isn't even a row.
+    left = written(buckets.join(mixed, "key").join(once, "th"), "left")
+    a, b = (left.select(F.col("key").alias(x + "key"), F.col("th").alias(x), F.col("label").alias(x + "label"), *[F.col(c).alias(x + c) for c in LANES]) for x in "ab")
+    rest = a.join(b, (F.col("akey") == F.col("bkey")) & (F.col("alabel") < F.col("blabel")) & (_apart("a", "b") <= WIDE_BITS))
+    verified(untested(rest.select("a", "b").distinct()))
+    return edges
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, th, rep_id and rep_th as in ``near_duplicates``, where texts are linked at a Jaccard
+    similarity of STAGE_SIMILARITY of their sets of 5-word shingles, verified on whole sets.
+
+    Candidates come from Golay keys of wide fingerprints; of pairs at 0.8 or more the keys find
+    about 98 in 100 (README), and chains of links find more. Texts without words are alike; null
+    counts as empty; equal texts are always linked; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    kind = "doc_id bigint, th bigint, " + ", ".join(f"{c} bigint" for c in LANES)
+    rows = written(docs.select("doc_id", "text", text_key().alias("th")).mapInArrow(_wide_prints, kind), "prints")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("th"))).alias("lead")
+    once = written(rows.groupBy("th").agg(lead, *[F.first(c).alias(c) for c in LANES]), "distinct")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        # Copies of one text may be many: one of each is read, by its lowest id.
+        asked = written(once.join(wanted, "th").select("th", F.col("lead.doc_id").alias("lead_id")), "asked-ids")
+        here = docs.select("doc_id", "text", text_key().alias("dh"))
+        texts = here.join(if_small(asked), (F.col("dh") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("lead_id")))
+        return texts.select("th", "text").mapInArrow(_shingle_sets, "th bigint, shingles binary").dropDuplicates(["th"])
+
+    labels = connected_components(similar_links(once.select("th", *LANES), sets)).select(F.col("node").alias("th"), "label")
+    grouped = written(once.select("th", "lead").join(labels, "th"), "grouped")
+    leads = written(grouped.groupBy("label").agg(F.min("lead").alias("group_lead")), "leads")
+    merged = grouped.join(leads, "label").select("th", "group_lead")
+    owner = written(once.select("th", "lead").join(merged, "th", "left").select("th", F.coalesce("group_lead", "lead").alias("lead")), "owners")
+    return rows.select("doc_id", "th").join(owner, "th").select("doc_id", "th", F.col("lead.doc_id").alias("rep_id"), F.col("lead.th").alias("rep_th"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), fp, rep_id, rep_th.
 
     ``rep_id`` and ``rep_th`` name the group's representative: the row with the smallest
     doc_id (null last, ties by the text's hash) among all that chains of linked
-    fingerprints reach; with ``similar``, also over links between texts of similar 5-word
-    shingle sets. Uses columns doc_id and text; others are ignored. Null and empty
+    fingerprints reach. Uses columns doc_id and text; others are ignored. Null and empty
     texts have fingerprint zero and are linked like any other. Rows repeated with one id
     and text share a representative. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    # Everything after this table works on a few numbers a row; with ``similar``, only texts
-    # of candidates go to Python again.
-    kernel, kind = (_signatures, ", n int, keys array<bigint>") if similar else (_fingerprints, "")
-    rows = written(docs.select("doc_id", "text", text_key().alias("th")).mapInArrow(kernel, "doc_id bigint, th bigint, fp bigint" + kind), "prints")
+    # Everything after this table works on three numbers a row.
+    rows = written(docs.select("doc_id", "text", text_key().alias("th")).mapInArrow(_fingerprints, "doc_id bigint, th bigint, fp bigint"), "prints")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("th"))).alias("lead")
     prints = written(rows.groupBy("fp").agg(lead), "distinct")
-    near = links(prints.select("fp"))
-    if similar:
-        near = similar_links(docs, rows, written(near, "links"))
-    labels = connected_components(near).select(F.col("node").alias("fp"), "label")
+    labels = connected_components(links(prints.select("fp"))).select(F.col("node").alias("fp"), "label")
     grouped = written(prints.join(labels, "fp").select("fp", "label", "lead"), "grouped")
     leads = written(grouped.groupBy("label").agg(F.min("lead").alias("group_lead")), "leads")
     merged = grouped.join(leads, "label").select("fp", "group_lead")
@@ -305,16 +377,19 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: its representative.
+    """``docs`` with one row of each group of near-duplicates (``similar_texts``): the row with the
+    smallest doc_id, null last; of several such rows, the first in the order of all columns.
 
-    Texts are linked as in op9 and, beyond that, at a Jaccard similarity of 0.8 of their
-    5-word shingles.
+    Uses doc_id and text; whatever else docs holds passes through. Null and empty texts, and those
+    without words, are one group. An empty table gives no rows.
     """
-    found = near_duplicates(docs, similar=True)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
-    # Rows alike in id and text are one document: the first of them by its partition's order stays.
-    once = keep.groupBy("k_id", "k_th").agg(F.count(F.lit(1)).alias("k_n"))
-    kept = docs.withColumn("k_text", text_key()).join(once, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_th")))
-    single = kept.where("k_n = 1").select(docs.columns)
-    repeated = kept.where("k_n > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated)
+    found = similar_texts(docs)
+    kept = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))
+    marked = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"), F.first(kept).alias("kept"))
+    # Most rows stay as they are; what is joined are the others.
+    marked = written(marked.where("NOT kept OR n > 1"), "marked")
+    # Rows travel as structs, so that no name of a column can clash with these.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key().alias("h"))
+    both = rows.join(if_small(marked), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left").select("row", "id", "h", "kept")
+    several = both.where("kept").groupBy("id", "h").agg(F.min("row").alias("row")).select("row")
+    return both.where("kept IS NULL").select("row").unionByName(several).select("row.*")

@@ -38,7 +38,7 @@ def test_stages(spark):
     want = {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in given}
     assert dict(rows(seen["simhash_near_dedup"], "doc_id", "text")) == want
 
-    comps = test_simhash.brute_components({i: test_simhash.brute_print(t) for i, t in want.items()})
+    comps = test_simhash.brute_similar(want)
     assert sorted(i for (i,) in rows(seen["source_mixing"], "doc_id")) == sorted(set(comps.values()))
 
     mixed_in = rows(seen["source_mixing"], "doc_id", "text", "source")

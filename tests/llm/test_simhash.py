@@ -92,16 +92,20 @@ def test_edges(spark):
 
 
 def brute_similar(texts):
-    """Smallest id of each component over links of two bits or of 5-word similarity 0.8."""
+    """Smallest id of each component over links of 5-word similarity 0.8."""
     shingles = {}
     for i, t in texts.items():
-        w = t.lower().split()
-        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    rep = brute_components({i: brute_print(t) for i, t in texts.items()})
+        w = (t or "").encode().lower().split()
+        shingles[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    rep = {i: i for i in texts}
+    members = {i: [i] for i in texts}
     for a, b in combinations(sorted(texts), 2):
-        if len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8 and rep[a] != rep[b]:
+        x, y = shingles[a], shingles[b]
+        if rep[a] != rep[b] and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) / len(x | y) >= 0.8:
             lo, hi = sorted((rep[a], rep[b]))
-            rep = {i: lo if r == hi else r for i, r in rep.items()}
+            for i in members.pop(hi):
+                rep[i] = lo
+                members[lo].append(i)
     return rep
 
 
@@ -121,8 +125,32 @@ def test_stage_links_similar_texts(spark):
         texts[i], i = " ".join([*star[: k], f"x{k}", *star[k + 1 :]]), i + 1
     texts[i], texts[i + 1] = "a b c d e f g h i", "a b c d e f g h i j"  # five and six shingles: 0.83
     want = brute_similar(texts)
-    two_bits = brute_components({i: brute_print(t) for i, t in texts.items()})
-    assert len(set(want.values())) < len(set(two_bits.values()))
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    assert {r.doc_id: r.rep_id for r in simhash.near_duplicates(docs, similar=True).collect()} == want
+    assert {r.doc_id: r.rep_id for r in simhash.similar_texts(docs).collect()} == want
     assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, "").collect()) == sorted(set(want.values()))
+
+
+def test_stage_names_and_repeats(spark):
+    rows = [(1, "one two three four five six", 3, None), (1, "one two three four five six", 2, "z"), (2, "ONE two  three four five six", 1, "a"), (None, None, 0, ""), (None, "", 5, "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int, kept string").withColumn("row", F.lit("r")).withColumn("th", F.lit(0)).withColumn("h", F.lit(1)).withColumn("id", F.lit(2)).withColumn("label", F.lit(4))
+    kept = simhash.dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.n, r.kept) for r in kept.collect()), key=str) == [(1, "one two three four five six", 2, "z"), (None, None, 0, "")]
+    assert simhash.dedup_stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_stage_takes_very_long_texts(spark):
+    words = [f"w{k % 977}x{k % 1009}" for k in range(200_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-500])), (3, " ".join(words[100_000:]))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, "").collect()) == [1, 3]
+
+
+def test_golay_keys_find_similar_texts(spark, sf_dir):
+    """Recall on distinct texts of the table: of all that are similar, nearly all are linked."""
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = brute_similar(texts)
+    got = {r.doc_id: r.rep_id for r in simhash.similar_texts(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
+    assert all(got[i] == i for i in want if want[i] == i)
