@@ -48,14 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a written table of a few numbers a row is broadcast.
-SMALL_ROWS = 2_000_000
+#: Numbers in a written table up to which it is broadcast.
+SMALL = 4_000_000
 
 
-def if_small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of a few numbers a row, marked for broadcast if its count allows it;
-    a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def if_small(df: DataFrame, extra: Column | None = None) -> DataFrame:
+    """``df``, a written table of a few numbers a row (``extra`` gives more of them), marked for
+    broadcast if the sum allows it; a larger one is joined by a shuffle."""
+    size = df.agg(F.sum(F.lit(len(df.columns)) + (F.lit(0) if extra is None else extra))).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

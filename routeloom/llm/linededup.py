@@ -1,10 +1,13 @@
 """Line dedup by winnowing: later repeats of runs of lines go, wherever they stand.
 
 Everything is DataFrame functions. A run of lines is a repeat if it has MIN_WORDS words and
-occurs before, in the order of document and line. From each line the shortest run with that
-many words is a window, and the window's smallest line hash is kept as a fingerprint. Equal
-runs hold equal windows, hence equal fingerprints, so that windows without a shared one need
-no further look.
+occurs before, in the order of document and line, at a place that it doesn't overlap: where
+copies overlap, the first stays whole. Windows are the shortest runs with that many words,
+onwards from each line and backwards from each. A window's smallest line hash, at its first
+place, is its fingerprint. Equal runs hold equal windows, hence equal fingerprints, so that only
+windows around a fingerprint that stands at two places are looked at as a whole.
+
+Only whole lines count. A passage that is repeated in the middle of longer lines isn't found.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import NOT_WS, let, table, text_key, text_or_empty, written
+from routeloom.llm.common import NOT_WS, if_small, let, table, text_key, text_or_empty, written
 
 #: A run of lines is a repeat from this many words on.
 MIN_WORDS = 50
@@ -52,84 +55,87 @@ def _windows(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, let(lines, build)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
-def _ordered(first: str = "s") -> Column:
+def _place(start: str) -> Column:
     """What runs are ordered by; documents without an id come last."""
-    return F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("th"), F.col(first).alias("s"))
+    return F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("th"), F.col(start).alias("at"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, n_lines (with a word) and ``gone``: numbers of the lines to delete.
-
-    1. Each window is winnowed to its smallest line hash (the first of equal ones).
-    2. Fingerprints are joined on their hash, not in pairs: a hash is shared if it stands at
-       two places or more, and only windows around shared ones go on.
-    3. Matches are extended both ways by windows: those onwards from each line reach the
-       left ends of a repeated run, those backwards its right ends. Each is looked up by the
-       hash of all its lines; where it isn't the first of its kind, its lines go. Any line of
-       a longer repeated run lies in such a window, so their union is the whole run, and no
-       two copies of a hot passage are ever paired.
+    """doc_id, th and ``gone``, the places (among the lines with a word, from 0) of lines to
+    delete, for documents that have any. Rows alike in id and text are one document.
+
+    1. Each window is winnowed to its smallest line hash and the place of that.
+    2. Fingerprints are joined on their hash: those that stand at one place only drop out, and
+       with them their windows, unread.
+    3. The windows left are hashed over all their lines, and each is joined with the first place of
+       its kind, so that the n copies of a hot passage make n rows and no pairs.
+    4. Matches are extended both ways: a longer repeated run is covered by windows, those onwards
+       from each line up to its left end, those backwards up to its right end, each matched with
+       the first place of its own kind. A match that begins inside that place is skipped.
     """
-    place = F.col("lines")
-    scanned = written(
-        docs.select("doc_id", text_key().alias("th"), _lines(text_or_empty()).alias("lines")).select("*", _windows(place).alias("windows")),
-        "lines",
-    )
-    # Of repeated rows (one id and one text) one stands for all.
-    single = written(scanned.where(F.size("windows") > 0).dropDuplicates(["doc_id", "th"]), "lines-once")
-
-    def winnowed(w: Column) -> Column:
-        hs = F.transform(F.slice(F.col("lines"), w["s"] + 1, w["e"] - w["s"] + 1), lambda x: x["h"])
-        return F.struct(w["s"].alias("s"), w["e"].alias("e"), F.xxhash64(hs).alias("run"), F.array_min(hs).alias("print"))
-
-    runs = single.select("doc_id", "th", F.explode(F.transform("windows", winnowed)).alias("w")).select("doc_id", "th", "w.*")
-    prints = single.select("doc_id", "th", F.explode(F.transform("windows", winnowed)).alias("w"), "lines")
-    at = lambda w: w["s"] + F.array_position(F.transform(F.slice(F.col("lines"), w["s"] + 1, w["e"] - w["s"] + 1), lambda x: x["h"]), w["print"]).cast("int") - 1
-    prints = prints.select("doc_id", "th", F.col("w.print").alias("print"), at(F.col("w")).alias("place")).distinct()
-    shared = written(prints.groupBy("print").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("print"), "prints")
-    near = written(runs.join(shared, "print", "left_semi"), "runs")
-    first = written(near.groupBy("run").agg(F.min(_ordered()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first"), "first-runs")
-    later = near.join(first, "run").where(_ordered() > F.col("first"))
+    worded = docs.select("doc_id", text_key().alias("th"), _lines(text_or_empty()).alias("lines"))
+
+    def winnowed(lines: Column, w: Column) -> Column:
+        least = F.array_min(F.transform(F.slice(lines, w["s"] + 1, w["e"] - w["s"] + 1), lambda x, k: F.struct(x["h"].alias("h"), (w["s"] + k).alias("at"))))
+        return F.struct(w["s"].alias("s"), w["e"].alias("e"), least["h"].alias("print"), least["at"].alias("at"))
+
+    prints = let(F.col("lines"), lambda a: F.transform(_windows(a), lambda w: winnowed(a, w)))
+    hashes = F.transform("lines", lambda x: x["h"])
+    scanned = written(worded.select("doc_id", "th", hashes.alias("hashes"), prints.alias("windows")).where(F.size("windows") > 0), "windows")
+    windows = scanned.select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*")
+    shared = windows.groupBy("print").agg(F.min(_place("at")).alias("lo"), F.max(_place("at")).alias("hi")).where("lo < hi").select("print")
+    around = windows.join(written(shared, "prints"), "print", "left_semi")
+    around = written(around.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("near")), "around")
+    around = around.select(F.col("doc_id").alias("id"), F.col("th").alias("key"), "near")
+    read = scanned.select("doc_id", "th", "hashes").join(around, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("key")))
+    run = lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.xxhash64(F.slice("hashes", w["s"] + 1, w["e"] - w["s"] + 1)).alias("run"))
+    runs = written(read.select("doc_id", "th", F.explode(F.transform("near", run)).alias("w")).select("doc_id", "th", "w.*"), "runs")
+    lead = F.min(F.struct(_place("s").alias("at"), "e"))
+    first = written(runs.groupBy("run").agg(lead.alias("first"), F.max(_place("s")).alias("last")).where("first.at < last").select("run", "first"), "first-runs")
+    same = F.col("doc_id").eqNullSafe(F.col("first.at.doc_id")) & (F.col("th") == F.col("first.at.th"))
+    later = runs.join(first, "run").where((_place("s") > F.col("first.at")) & ~(same & (F.col("s") <= F.col("first.e"))))
     gone = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("later"))
-    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "later")
-    joined = scanned.select("doc_id", "th", "lines").join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
-    # Lines without words between those of a run stay.
-    numbers = let(
-        F.col("lines"),
-        lambda a: F.sort_array(F.array_distinct(F.flatten(F.transform(F.coalesce("later", F.array().cast("array<struct<s:int,e:int>>")), lambda w: F.transform(F.sequence(w["s"], w["e"]), lambda k: a[k]["i"]))))),
-    )
-    return joined.select("doc_id", "th", F.size("lines").cast("bigint").alias("n_lines"), numbers.alias("gone"))
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform("later", lambda w: F.sequence(w["s"], w["e"])))))
+    return written(gone.select("doc_id", "th", places.alias("gone")), "gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines deleted from text, and ``l_lines``, ``l_deleted`` added.
+    """``row`` (a struct of all columns), text, n_lines (with a word) and n_deleted.
 
-    Uses doc_id and text; all columns pass through, and names that clash with the added ones
-    are not disturbed, as the joined table's are prefixed. A null text stays null and an
-    empty one empty; a text that only repeats becomes empty. Ids may be null (they come last
-    in the order) or repeat: rows alike in id and text are one document and keep the same
-    lines. An empty table gives no rows.
+    Uses doc_id and text; whatever else docs holds is carried in ``row``, so that no name can
+    clash. A null text stays null and an empty one empty; a text that only repeats becomes empty.
+    Lines without a word are never deleted. Ids may be null (they come last in the order) or
+    repeat: rows alike in id and text are one document and keep the same lines. Very long texts
+    are read whole; an empty table gives no rows.
     """
-    found = repeated_lines(docs).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("l_id"), F.col("th").alias("l_th"), F.col("n_lines").alias("l_lines"), F.col("gone").alias("l_gone"))
-    found = written(found, "gone")
-    keyed = docs.withColumn("l_text", text_key())
-    both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["l_id"]) & (F.col("l_text") == F.col("l_th")), "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = let(lines, lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("l_gone")), lambda i: a[i]), "\n"))
-    text = F.when(F.size("l_gone") > 0, kept).otherwise(F.col("text"))
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], "l_lines", F.size("l_gone").cast("bigint").alias("l_deleted"))
+    found = repeated_lines(docs)
+    found = found.select(F.col("doc_id").alias("id"), F.col("th").alias("key"), "gone")
+    # Most documents lose nothing, and only the others' lines are joined, if these are few.
+    found = if_small(found, F.size("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("of"), text_key().alias("h"))
+    both = rows.join(found, F.col("of").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")), "left")
+    text = F.col("row.text")
+
+    def rest(lines: Column) -> Column:
+        numbers = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(NOT_WS), i)), lambda i: i.isNotNull())
+        drop = let(numbers, lambda n: F.transform(F.col("gone"), lambda k: n[k]))
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: lines[i]), "\n")
+
+    kept = F.when(F.col("gone").isNotNull(), let(F.split(text, "\n", -1), rest)).otherwise(text)
+    n_lines = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NOT_WS + r"[^\n]*+")).cast("bigint")
+    return both.select("row", kept.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_deleted"))
 
 
 def op7_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of ``documents`` without later repeats of runs of lines."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("l_lines").alias("n_lines"), F.col("l_deleted").alias("n_deleted"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "text", "n_lines", "n_deleted")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with repeated lines deleted and n_chars counted anew."""
+    """``docs`` with repeated lines deleted and n_chars counted anew; see ``dedup_lines``."""
     out = dedup_lines(docs)
-    chars = F.when(F.col("l_deleted") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.select(*[chars.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("bigint")).otherwise(F.col("row").getField("n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
@@ -140,7 +146,8 @@ w AS (SELECT *, row_number() OVER o AS p, sum(n) OVER o AS upto FROM l WHERE n >
 r AS (SELECT s.doc_id, s.p AS s, min(e.p) AS e FROM w s JOIN w e ON s.doc_id = e.doc_id AND e.p BETWEEN s.p AND s.p + {MIN_WORDS - 1} AND e.upto - s.upto + s.n >= {MIN_WORDS} GROUP BY ALL
   UNION SELECT e.doc_id, max(s.p), e.p FROM w s JOIN w e ON s.doc_id = e.doc_id AND s.p BETWEEN e.p - {MIN_WORDS - 1} AND e.p AND e.upto - s.upto + s.n >= {MIN_WORDS} GROUP BY e.doc_id, e.p),
 x AS (SELECT r.doc_id, r.s, r.e, string_agg(w.line, chr(10) ORDER BY w.p) AS body FROM r JOIN w ON w.doc_id = r.doc_id AND w.p BETWEEN r.s AND r.e GROUP BY ALL),
-f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, s) > 1),
+o AS (SELECT body, arg_min(doc_id, (doc_id, s)) AS doc_id, arg_min(s, (doc_id, s)) AS s, arg_min(e, (doc_id, s)) AS e FROM x GROUP BY body),
+f AS (SELECT x.* FROM x JOIN o USING (body) WHERE (x.doc_id, x.s) > (o.doc_id, o.s) AND NOT (x.doc_id = o.doc_id AND x.s <= o.e)),
 g AS (SELECT DISTINCT w.doc_id, w.i FROM f JOIN w ON w.doc_id = f.doc_id AND w.p BETWEEN f.s AND f.e),
 d AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
 SELECT t.doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(gone, i)), lambda i: a[i]), chr(10)), '') END AS text,
