@@ -1,8 +1,9 @@
 """Personal data: base patterns, and bootstrapped contexts that find further identifiers.
 
-Everything is DataFrame functions. Seeds are the base patterns' matches. The words around
-a seed make lexical patterns; patterns and the identifiers they surround form a bipartite
-graph that is scored in rounds; confident patterns then mark what the base patterns miss.
+Everything is DataFrame functions. Seeds are the base patterns' matches and, for secrets such as
+keys and tokens, quoted digests. The words around a seed make lexical patterns; patterns and the
+identifiers they surround form a bipartite graph that is scored in rounds; confident patterns
+then mark what the seeds miss.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from routeloom.llm.common import let, table, text_key, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds of spans; those beyond KINDS have seeds but no base pattern.
+ALL_KINDS = (*KINDS, "secret")
 # Possessive quantifiers and look-behinds change no match of the plain patterns, as each
 # class excludes what must follow it; they keep long runs linear and the stack flat. A
 # search that begins inside a run (\G, after a match) is still allowed.
@@ -24,8 +27,11 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _W, _NW = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-#: What may be an identifier: phone- or card-like groups, else a word with a digit or @.
-CANDIDATE = rf"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9](?:[\x20-]?[0-9]){{11,}}+|(?<!{_NW})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NW}*+"
+#: A seed of a secret: a digest of the usual lengths in hexadecimal digits, by itself in quotes.
+SECRET = r"^[\"'](?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})[\"']$"
+#: What may be an identifier: phone- or card-like groups, else a word with a digit or @, else the
+#: word after a key and = or :.
+CANDIDATE = rf"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9](?:[\x20-]?[0-9]){{11,}}+|(?<!{_NW})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NW}*+|(?<=[:=][\x20\x09]?)(?<!{_NW})(?![=:]){_NW}++"
 _BYTE = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 VALID_IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
@@ -33,10 +39,9 @@ ROUNDS = 3
 #: A pattern needs this many distinct known identifiers, and this confidence.
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.6
-#: Shorter unseen identifiers are not reported.
-MIN_LENGTH = 5
-CONTEXT_CHARS = 96
 CHUNK = 256
+#: Stands for a neighbouring candidate in a context.
+HOLDER = "<id>"
 
 
 def _digits(c: Column) -> Column:
@@ -90,31 +95,41 @@ def _base(text: Column, kind: str) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Possible identifiers: s, e, id (lower case), seed (its kind, or null) and contexts."""
+    """Possible identifiers: s, e, id (lower case), seed (its kind, or null) and contexts.
+
+    Contexts are of the words around, in lower case and without punctuation at their ends; a word
+    of punctuation alone, such as =, stays. Neighbouring candidates are words like any other,
+    all the same, so that lists of identifiers have contexts too.
+    """
     pieces, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    zipped = let(pieces, lambda p: let(found, lambda m: F.transform(m, lambda x, i: F.struct(F.length(p[i]).alias("g"), F.length(x).alias("l"), x.alias("m"), F.substring(p[i], -CONTEXT_CHARS, CONTEXT_CHARS).alias("p"), F.substring(p[i + 1], 1, CONTEXT_CHARS).alias("q")))))
 
-    def word(c: Column, pattern: str, group: int = 1) -> Column:
-        return F.regexp_replace(F.lower(F.regexp_extract(c, pattern, group)), r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    def around(p: Column, m: Column, x: Column, i: Column) -> Column:
+        n = F.size(m)
+        before, after = F.concat(F.when(i > 0, HOLDER).otherwise(""), p[i]), F.concat(p[i + 1], F.when(i + 1 < n, HOLDER).otherwise(""))
+        two = F.regexp_extract_all(before, F.lit(rf"(?<!{_NW}){_NW}++(?={_W}*+(?:{_NW}++{_W}*+)?+$)"), F.lit(0))
+        return F.struct(F.length(p[i]).alias("g"), F.length(x).alias("l"), x.alias("m"), two.alias("p"), F.regexp_extract(after, rf"^{_W}*+({_NW}++)", 1).alias("q"))
+
+    zipped = let(pieces, lambda p: let(found, lambda m: F.transform(m, lambda x, i: around(p, m, x, i))))
+
+    def word(c: Column) -> Column:
+        plain = F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+        return F.when(F.instr(c, HOLDER) > 0, HOLDER).when(plain != "", plain).otherwise(c)
 
     def one(x: Column) -> Column:
         m, p, q = x["x"]["m"], x["x"]["p"], x["x"]["q"]
         lead = F.length(F.regexp_extract(m, "^[^A-Za-z0-9+]*+", 0))
         core = F.regexp_replace(m, "^[^A-Za-z0-9+]++|(?<=[A-Za-z0-9])[^A-Za-z0-9]++$", "")
-        two, left, right = word(p, rf"({_NW}+){_W}+{_NW}+{_W}*$"), word(p, rf"({_NW}+){_W}*$"), word(q, rf"^{_W}*({_NW}+)")
+        two, left, right = F.when(F.size(p) > 1, word(p[F.size(p) - 2])), F.when(F.size(p) > 0, word(p[F.size(p) - 1])), F.when(q != "", word(q))
         contexts = F.filter(
-            F.array(
-                F.when((two != "") & (left != ""), F.concat(F.lit("before "), two, F.lit(" "), left)),
-                F.when((left != "") & (right != ""), F.concat(F.lit("around "), left, F.lit(" "), right)),
-            ),
-            lambda c: c.isNotNull(),
+            F.array(F.concat(F.lit("before "), two, F.lit(" "), left), F.concat(F.lit("around "), left, F.lit(" "), right)),
+            lambda c: c.isNotNull() & c.rlike(r"^\w+ .*\p{L}") & ~c.isin(f"before {HOLDER} {HOLDER}", f"around {HOLDER} {HOLDER}"),
         )
         seed = F.when(m.rlike(EMAIL.replace(r"\G|", "")), "email").when(core.rlike("^" + IP + "$") & VALID["ip"](core), "ip")
-        seed = seed.when(core.rlike("^" + CARD + "$") & VALID["card"](core), "card").when(core.rlike("^" + PHONE + "$") & VALID["phone"](core), "phone")
+        seed = seed.when(core.rlike("^" + CARD + "$") & VALID["card"](core), "card").when(core.rlike("^" + PHONE + "$") & VALID["phone"](core), "phone").when(m.rlike(SECRET), "secret")
         return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(core)).alias("e"), F.lower(core).alias("id"), seed.alias("seed"), contexts.alias("contexts"))
 
-    useful = lambda c: (F.size(c["contexts"]) > 0) & c["id"].rlike("[0-9@]")
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(_placed(zipped), one), useful))
+    useful = lambda c: ((F.size(c["contexts"]) > 0) | c["seed"].isNotNull()) & c["id"].rlike(r"[\p{L}\p{N}]")
+    return F.when(text.rlike("[0-9@:=]"), F.filter(F.transform(_placed(zipped), one), useful))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -156,8 +171,8 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_S
 
 def discoveries(scanned: DataFrame, patterns: DataFrame, scores: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """doc_id, th and the unseen identifiers' spans (s, k, e) that confident patterns mark."""
-    order = F.expr("CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END")
-    at = scanned.select("doc_id", "th", F.explode("candidates").alias("c")).where(F.col("c.seed").isNull() & (F.col("c.e") - F.col("c.s") >= MIN_LENGTH))
+    order = F.expr("CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(ALL_KINDS)) + " END")
+    at = scanned.select("doc_id", "th", F.explode("candidates").alias("c")).where(F.col("c.seed").isNull())
     at = at.select("doc_id", "th", "c.s", "c.e", "c.id", F.explode("c.contexts").alias("pattern"))
     hits = at.join(patterns, "pattern").join(scores.where(F.col("score") >= min_confidence), ["id", "kind"])
     best = hits.groupBy("doc_id", "th", "s", "e").agg(F.max(F.struct("score", (-order).alias("o"))).alias("b"))
@@ -165,29 +180,33 @@ def discoveries(scanned: DataFrame, patterns: DataFrame, scores: DataFrame, min_
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, ``base`` and ``found`` spans: arrays of structs s, k, e.
+    """doc_id, counts by kind, and arrays of structs s, k, e: ``base``, ``seeds`` (of kinds without
+    a base pattern), ``more`` (discovered by contexts) and ``found``, all of them.
 
-    ``s`` and ``e`` are code points, end exclusive; ``k`` indexes KINDS. ``found`` holds
-    the base spans and the discoveries that overlap none of them. Uses doc_id and text;
-    other columns are ignored. Null and empty texts have no spans. Repeated rows give
-    repeated rows with the same spans, null ids included; an empty table gives none.
+    ``s`` and ``e`` are code points, end exclusive; ``k`` indexes ALL_KINDS. Seeds and discoveries
+    that overlap a base span are left out. Uses doc_id and text; other columns are ignored. Null
+    and empty texts have no spans. Repeated rows give repeated rows with the same spans, null ids
+    included; an empty table gives none.
     """
     scanned = written(scan(docs), "pii-scan")
     patterns, scores = bootstrap(scanned)
     more = discoveries(scanned, patterns, scores).select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), "more")
-    both = scanned.drop("candidates").join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
-    free = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    found = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", free)))
-    return both.select("doc_id", *[f"n_{k}" for k in KINDS], "base", found.alias("found"))
+    spans = "array<struct<s:int,k:int,e:int>>"
+    secret = F.transform(F.filter("candidates", lambda c: c["seed"] == "secret"), lambda c: F.struct(c["s"].alias("s"), F.lit(len(KINDS)).alias("k"), c["e"].alias("e")))
+    marked = scanned.select("doc_id", "th", *[f"n_{k}" for k in KINDS], "base", F.coalesce(secret, F.array().cast(spans)).alias("seeds"))
+    both = marked.join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
+    free = lambda c: F.filter(F.coalesce(c, F.array().cast(spans)), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    out = both.select("doc_id", *[f"n_{k}" for k in KINDS], "base", free("seeds").alias("seeds"), free("more").alias("more"))
+    return out.withColumn("found", F.sort_array(F.concat("base", "seeds", "more")))
 
 
 def _joined(spans: str) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["k"]], x["s"], x["e"])), ",")
 
 
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in the whole of ``documents``."""
     found = personal_data(table(spark, sf_dir, "documents"))
-    extra = (F.size("found") - F.size("base")).cast("bigint").alias("n_discovered")
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("found").alias("spans"), extra)
+    counts = [F.size(c).cast("bigint").alias(n) for c, n in (("more", "n_discovered"), (F.filter("found", lambda x: x["k"] == len(KINDS)), "n_secret"), ("found", "n_spans"))]
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("found").alias("spans"), *counts)
