@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routeloom.llm.common import text_or_empty
+
 
 def fold(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % modulus
@@ -40,11 +43,26 @@ def sample_ids(labels: DataFrame, label: str, learn: Column, per_class: int) ->
     return out
 
 
-def texts_of(docs: DataFrame, ids: list[tuple[int, int]]) -> list[tuple[str, int]]:
-    """The whole texts of the sample and their labels; the sample's bound bounds both."""
+def texts_of(docs: DataFrame, ids: list[tuple[int, int]], chars: int) -> list[tuple[str, int]]:
+    """Whole texts of the sample and their labels, so many characters of each label at most.
+
+    Of rows with one id that with the smallest text counts. Lengths are asked first, and texts
+    taken in the order of ``ids`` until they hold ``chars``; one beyond that is left out, whole.
+    """
     spark = docs.sparkSession
     if not ids:
         return []
-    wanted = F.broadcast(spark.createDataFrame(ids, "s_id bigint, s_y int"))
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("s_id")).select("doc_id", "text", "s_y").collect()
-    return [(t or "", y) for _, t, y in sorted(((r["doc_id"], r["text"] or "", r["s_y"]) for r in rows))]
+    one = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(ids, "s_id bigint, s_y int")), F.col("doc_id") == F.col("s_id"))
+    length = F.length(text_or_empty())
+    sizes = {r["doc_id"]: r["n"] for r in one.groupBy("doc_id").agg(F.min(length).alias("n")).collect()}
+    left, taken = Counter({0: chars, 1: chars}), []
+    for i, y in ids:
+        if i in sizes and sizes[i] <= left[y]:
+            left[y] -= sizes[i]
+            taken.append((i, y, sizes[i]))
+    if not taken:
+        return []
+    want = F.broadcast(spark.createDataFrame(taken, "s_id bigint, s_y int, s_n int"))
+    rows = docs.select("doc_id", "text").join(want, (F.col("doc_id") == F.col("s_id")) & (length == F.col("s_n")))
+    found = rows.groupBy("doc_id", "s_y").agg(F.min(text_or_empty()).alias("text")).collect()
+    return [(r["text"], r["s_y"]) for r in sorted(found, key=lambda r: r["doc_id"])]

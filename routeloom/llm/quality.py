@@ -162,7 +162,8 @@ def train(measured: DataFrame, labels: DataFrame, modulus: int = 3) -> tuple[Net
     """
     good = labels.where((fold(modulus) != 1) & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     ids = bounded(good, POSITIVES, "positives")
-    rows = measured.join(F.broadcast(ids), "doc_id").select("doc_id", "f").orderBy("doc_id").collect()
+    # Of rows with one id the least counts, so that no more than the sample reaches the driver.
+    rows = measured.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("f").alias("f")).orderBy("doc_id").collect()
     if not rows:
         return None
     p = np.array([r["f"] for r in rows], float)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from routeloom.llm.common import small_batches, table
 from routeloom.llm.labelled import fold, sample_ids, texts_of
 
-#: Documents of each class that the field is fitted to, at most.
-PER_CLASS = 4000
+#: Documents of each class that the field is fitted to, at most, and their characters together.
+PER_CLASS, CHARS = 4000, 4_000_000
 #: A word or prefix marks toxic tokens if so many toxic documents have it, in number and as a
 #: share, and at most MAX_SHARE of that share of the others.
 MIN_DOCS, MIN_SHARE = 8, 0.01
@@ -31,8 +31,8 @@ MAX_SHARE = 0.02
 PREFIXES = (4, 5, 6)
 HASH_BITS = 18
 CONTEXT = 5
-#: Marginals below this don't add up to a document's score.
-FLOOR = 0.5
+#: Long chains are worked on in pieces of this many places.
+PIECE = 256
 WORD = re.compile(r"[^ \t\n\v\f\r]+")
 CACHE = 300_000
 #: Documents of each class that the scores are calibrated on, at most.
@@ -76,71 +76,97 @@ class Field:
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, last: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Posterior probability of state 1 at every place of many chains laid end to end.
+    """Posterior probability of state 1 at every place of many chains laid end to end, exactly.
 
-    ``emit`` is the log-potential of state 1 against 0, ``first`` and ``last`` mark the ends
-    of chains. Forward and backward messages, as ratios, obey r[t] = f(r[t-1]); they are
-    found for all places at once by repeating that step until nothing changes. After k
-    repeats a place has heard of the k before it, so the result is the exact one at the
-    latest after a chain's length, and sooner as the maps contract.
+    ``emit`` is the log-potential of state 1 against 0, ``first`` and ``last`` mark the ends of
+    chains. Work is linear in the places, however strong the transitions.
     """
     if not len(emit):
         return emit
-    a = np.exp(trans)
-    e = np.exp(np.clip(emit, -60, 60))
-
-    def settle(step, start):
-        r = start
-        for _ in range(len(emit) + 1):
-            new = step(r)
-            if np.all(np.abs(new - r) <= 1e-12 * np.abs(new)):
-                return new
-            r = new
-        return r
+    a, e = np.exp(trans), np.exp(np.clip(emit, -60, 60))
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    forward = _messages(e, starts, ends - starts + 1, a)
+    backward = _messages(e[::-1], (len(e) - 1 - ends)[::-1], (ends - starts + 1)[::-1], a.T)[::-1]
+    odds = forward * backward / e
+    return odds / (1 + odds)
 
-    def forward(r):
-        prev = np.empty_like(r)
-        prev[1:] = r[:-1]
-        prev[0] = 0
-        return np.where(first, e, e * (a[0, 1] + prev * a[1, 1]) / (a[0, 0] + prev * a[1, 0]))
 
-    def backward(b):
-        nxt = np.empty_like(b)
-        nxt[:-1] = (e * b)[1:]
-        nxt[-1] = 0
-        return np.where(last, 1.0, (a[1, 0] + nxt * a[1, 1]) / (a[0, 0] + nxt * a[0, 1]))
+def _messages(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Forward messages, as ratios of state 1 to state 0, of all chains at once.
 
-    odds = settle(forward, e) * settle(backward, np.ones_like(e))
-    return odds / (1 + odds)
+    Chains are cut into pieces of PIECE places. Where a chain has several, each piece's effect on
+    whatever enters it, a 2 x 2 matrix, is found first, then what enters, piece by piece; then
+    every piece is walked, the k-th places of all pieces in one step.
+    """
+    pieces = -(-lengths // PIECE)
+    total = int(pieces.sum())
+    chain = np.repeat(np.arange(len(starts)), pieces)
+    rank = np.arange(total) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at, size = starts[chain] + rank * PIECE, np.minimum(PIECE, lengths[chain] - rank * PIECE)
+    enters = np.full(total, np.nan)  # ratios; the first pieces have none
+    inner = np.flatnonzero((rank + 1 < pieces[chain]) & (rank > 0))  # all of them PIECE long
+    effect = np.tile(np.eye(2), (len(inner), 1, 1))
+    for k in range(PIECE if len(inner) else 0):
+        effect = effect @ a
+        effect[:, :, 1] *= e[at[inner] + k][:, None]
+        effect /= effect.sum(axis=(1, 2), keepdims=True)
+    where = np.full(total, -1)
+    where[inner] = np.arange(len(inner))
+
+    def walk(r: np.ndarray, which: np.ndarray, out: np.ndarray | None) -> np.ndarray:
+        """Ratios at the pieces' ends; ``which`` goes from long pieces to short ones."""
+        r = r.copy()
+        counts = np.searchsorted(-size[which], -np.arange(int(size[which].max(initial=0))), side="left")
+        for k, n in enumerate(counts):
+            places = at[which[:n]] + k
+            step, x = r[:n], e[places]
+            new = x * (a[0, 1] + step * a[1, 1]) / (a[0, 0] + step * a[1, 0])
+            r[:n] = np.where(np.isnan(step), x, new) if k == 0 else new
+            if out is not None:
+                out[places] = r[:n]
+        return r
+
+    heads = np.flatnonzero((rank == 0) & (pieces[chain] > 1))
+    flow = walk(enters[heads], heads, None)  # all PIECE long, in any order
+    for k in range(1, int(pieces.max())):
+        go = pieces[chain[heads]] > k
+        heads, flow = heads[go], flow[go]
+        enters[heads + k] = flow
+        m = effect[where[heads + k]] if len(inner) else np.zeros((len(heads), 2, 2))
+        m0, m1 = m[:, 0, 0] + flow * m[:, 1, 0], m[:, 0, 1] + flow * m[:, 1, 1]
+        flow = np.divide(m1, m0, out=np.ones_like(m1), where=m0 > 0)
+    order = np.argsort(-size, kind="stable")
+    out = np.empty(len(e))
+    walk(enters[order], order, out)
+    return out
 
 
 def fit(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, decay: float = 1e-4) -> Field:
     """Maximum conditional likelihood of labelled token sequences, by Adam.
 
-    Sequences are the tokens around each marked one, and as many stretches of documents that
-    aren't toxic, chosen by a fixed seed; expected counts come from ``marginals``.
+    Sequences are the tokens around each marked one of every toxic document, and as many stretches
+    of the others, spread evenly over their whole texts; expected counts come from ``marginals``.
     """
-    marks, rng = markers(sample), np.random.default_rng(11)
+    marks = markers(sample)
     size = 1 << HASH_BITS
     sequences: list[tuple[list[str], list[int]]] = []
-    for text, y in sample:
+    known: dict[str, int] = {}
+    for text in (text for text, y in sample if y):
         words = WORD.findall(text)
-        if not words:
-            continue
-        if not y:
-            at = int(rng.integers(0, len(words)))
-            for at in {at, int(rng.integers(0, len(words)))}:
-                part = words[max(0, at - CONTEXT) : at + CONTEXT + 1]
-                sequences.append((part, [0] * len(part)))
-            continue
-        tags = [int(not marks.isdisjoint(features(w))) for w in words]
-        at, n = 0, 0
-        while at < len(words) and n < 4:
+        tags = [known[w] if w in known else known.setdefault(w, int(not marks.isdisjoint(features(w)))) for w in words]
+        at = 0
+        while at < len(words):
             if tags[at]:
                 a, b = max(0, at - CONTEXT), min(len(words), at + CONTEXT + 1)
                 sequences.append((words[a:b], tags[a:b]))
-                at, n = b, n + 1
+                at = b
             at += 1
+    clean = [w for w in (WORD.findall(text) for text, y in sample if not y) if w]
+    each = max(2, round(len(sequences) / max(1, len(clean))))
+    for words in clean:
+        for at in sorted({int((k + 0.5) * len(words) / each) for k in range(each)}):
+            part = words[max(0, at - CONTEXT) : at + CONTEXT + 1]
+            sequences.append((part, [0] * len(part)))
     if not sequences:
         z = np.zeros(size)
         return Field(z, z, z, -20.0, np.zeros((2, 2)))
@@ -247,12 +273,21 @@ class Tagger(dict):
         emit[:-1] += np.where(last[:-1], 0.0, right[index[1:]])
         return np.split(marginals(emit, first, last, self.field.trans), ends[:-1])
 
+    def tag_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The marginals of many texts, some MB at a time."""
+        found, at, held = [], 0, 0
+        for k, t in enumerate(texts):
+            held += len(t)
+            if held > 4_000_000 or k == len(texts) - 1:
+                found += self.tag(texts[at : k + 1])
+                at, held = k + 1, 0
+        return found
+
 
 def chance(p: np.ndarray) -> float:
-    """The chance that some word is toxic, over the words that more likely are than not; where
-    there is none, the largest marginal. A long text's many small ones don't add up."""
-    high = p[p >= FLOOR]
-    return float(1 - np.prod(1 - high)) if len(high) else float(p.max(initial=0.0))
+    """The chance that some word is toxic, each word counting with the square of its marginal: one
+    sure word decides, a long text's many small marginals don't add up."""
+    return float(-np.expm1(np.log1p(-np.minimum(p * p, 1 - 1e-12)).sum()))
 
 
 def _logit(x: np.ndarray) -> np.ndarray:
@@ -316,12 +351,7 @@ def _score(broadcast):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            found, at, held = [], 0, 0
-            for k, t in enumerate(texts):  # some MB at a time
-                held += len(t)
-                if held > 4_000_000 or k == len(texts) - 1:
-                    found += tagger.tag(texts[at : k + 1])
-                    at, held = k + 1, 0
+            found = tagger.tag_all(texts)
             scores = score(field, np.array([chance(p) for p in found]))
             marked = [[{"start": s, "end": e} for s, e in spans(t.decode(), p)] if len(p) and p.max() >= 0.5 else [] for t, p in zip(texts, found, strict=True)]
             rest = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
@@ -332,17 +362,18 @@ def _score(broadcast):
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_class: int = PER_CLASS) -> Field:
-    """A field fitted to at most ``per_class`` documents of each class from the folds 1 to 4."""
+    """A field fitted to at most ``per_class`` documents and CHARS characters of each class, from
+    the folds 1 to 4."""
     learn = fold(modulus) != 0
-    sample = texts_of(docs, sample_ids(labels, "toxic", learn, per_class))
+    sample = texts_of(docs, sample_ids(labels, "toxic", learn, per_class), CHARS)
     return calibrate(fit(sample), sample)
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score, n_words and toxic spans of each text, tagged whole, without a shuffle.
 
-    Uses doc_id and text; other columns are ignored. Null and empty texts score 0 and have
-    no spans. Repeated rows and null ids are scored like any other; an empty table gives
+    Uses doc_id and text; other columns are ignored. Null and empty texts, and those without a
+    word, have no spans and the least score, what calibration makes of a chance of 0. Repeated rows and null ids are scored like any other; an empty table gives
     none. With no labels of one class, nothing is toxic.
     """
     spark = docs.sparkSession
@@ -361,20 +392,25 @@ def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those that the field finds toxic."""
+    """``docs`` without those that the field finds toxic, trained on the same docs and ``labels``.
+
+    Uses doc_id and text; whatever else docs holds passes through, in a struct, so that no name can
+    clash. Null and empty texts stay, repeated rows stay or go alike, and an empty table gives no
+    rows.
+    """
     field = train(docs, table(spark, sf_dir, "labels"))
     small_batches(spark)
     shared = spark.sparkContext.broadcast(field)
-    text = docs.withColumn("t_all", F.struct(*docs.columns)).select("t_all", "text")
-    return text.mapInArrow(_keep(shared), docs.schema)
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(_keep(shared), docs.schema)
 
 
 def _keep(broadcast):
-    run = _score(broadcast)
-
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in run(batches):
-            good = np.asarray(b.column("score").to_numpy()) < 0.5
-            yield from pa.Table.from_batches([pa.RecordBatch.from_struct_array(b.column("t_all"))]).filter(pa.array(good)).to_batches()
+        field = broadcast.value
+        tagger = Tagger(field)
+        for b in batches:
+            rows = pa.RecordBatch.from_struct_array(b.column("row"))
+            found = tagger.tag_all([t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()])
+            yield rows.filter(pa.array(score(field, np.array([chance(p) for p in found])) < 0.5))
 
     return filtered

@@ -32,6 +32,61 @@ def test_marginals_are_exact():
     assert np.allclose(pairs[inner].sum(axis=1)[:, 1], want[inner])
 
 
+def plain_marginals(emit, trans):
+    """Forward and backward, one place at a time."""
+    a, psi = np.exp(trans), np.stack([np.ones_like(emit), np.exp(emit)], axis=1)
+    f, b = psi.copy(), np.ones_like(psi)
+    for t in range(len(emit)):
+        f[t] = psi[t] * (f[t - 1] @ a if t else 1)
+        f[t] /= f[t].sum()
+    for t in range(len(emit) - 2, -1, -1):
+        b[t] = a @ (psi[t + 1] * b[t + 1])
+        b[t] /= b[t].sum()
+    return (f * b)[:, 1] / (f * b).sum(axis=1)
+
+
+def test_marginals_of_long_chains():
+    rng = np.random.default_rng(5)
+    for strength in (0.5, 8):  # strong transitions carry a state over thousands of places
+        trans = np.array([[strength, -strength], [-strength, strength]]) + rng.normal(size=(2, 2))
+        chains = [rng.normal(size=n) * 2 for n in (1, 255, 256, 257, 512, 3000, 2, 769, 40)]
+        emit = np.concatenate(chains)
+        ends = np.cumsum([len(c) for c in chains])
+        first, last = np.zeros(len(emit), bool), np.zeros(len(emit), bool)
+        last[ends - 1] = True
+        first[np.concatenate([[0], ends[:-1]])] = True
+        want = np.concatenate([plain_marginals(c, trans) for c in chains])
+        assert np.allclose(toxicity.marginals(emit, first, last, trans), want, atol=1e-9)
+
+
+def test_tagging_against_brute_force(spark, sf_dir):
+    """Scores and spans of whole texts from the weights of a trained field, word by word."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.tag(docs, field).collect():
+        words = list(toxicity.WORD.finditer(texts[r.doc_id]))
+        slots = [[toxicity._slot(f) for f in toxicity.features(m.group())] for m in words]
+        emit = np.array([sum(field.own[s]) + field.bias for s in slots])
+        emit[1:] += [field.left[s[0]] for s in slots[:-1]]
+        emit[:-1] += [field.right[s[0]] for s in slots[1:]]
+        p = plain_marginals(emit, field.trans) if words else np.zeros(0)
+        c = min(max(1 - np.prod(1 - p * p), 1e-9), 1 - 1e-9)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(field.scale * np.log(c / (1 - c)) + field.shift, -30, 30)))) < 1e-5
+        marked = [k for k in range(len(words)) if p[k] >= 0.5]
+        starts = [words[k].start() for k in marked if k - 1 not in marked]
+        ends = [words[k].end() for k in marked if k + 1 not in marked]
+        assert [(s.start, s.end) for s in r.spans] == list(zip(starts, ends, strict=True))
+
+
+def test_sample_is_bounded(spark):
+    from routeloom.llm.labelled import texts_of
+
+    docs = spark.createDataFrame([(1, "a" * 50), (1, "b"), (1, "c"), (2, "d" * 90), (3, None), (4, "e" * 30)], "doc_id bigint, text string")
+    assert texts_of(docs, [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)], 60) == [("b", 0), ("", 0), ("e" * 30, 1)]
+    assert texts_of(docs, [], 60) == []
+
+
 def test_held_out_accuracy(spark, sf_dir):
     got = {r.doc_id: r for r in toxicity.op6_toxicity_crf(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
@@ -48,7 +103,7 @@ def sample():
 def test_spans_edges_and_stage(spark):
     field = toxicity.fit([(t, y) for _, t, y in sample()])
     rows = [(1, None), (2, ""), (3, "say gruftigx gruftigab now"), (3, "say gruftigx gruftigab now"), (None, "plain é\U0001f600 gruftigb"), (5, "plain words " * 30000)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"score": F.lit("c"), "spans": F.lit(1), "t_x": F.lit(2)})
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"score": F.lit("c"), "spans": F.lit(1), "t_all": F.lit(2), "row": F.lit(3)})
     got = [(r.doc_id, r.score >= 0.5, [tuple(s) for s in r.spans]) for r in toxicity.tag(docs, field).collect()]
     assert sorted(got, key=str) == sorted([(1, False, []), (2, False, []), (3, True, [(4, 22)]), (3, True, [(4, 22)]), (None, True, [(9, 17)]), (5, False, [])], key=str)
     assert toxicity.tag(docs.limit(0), field).collect() == []
