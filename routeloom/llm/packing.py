@@ -16,7 +16,7 @@ from routeloom.llm.common import small_batches, table, text_key, written
 CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Documents are dealt over about one bucket for so many pieces when pieces are numbered.
+#: Pieces of one length are dealt over a bucket for so many of them when they are numbered.
 BUCKET_PIECES = 4_000
 #: Entries of the cache of encoded words, after which it starts anew.
 CACHE = 400_000
@@ -230,11 +230,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Only the count of each length, at most ``capacity`` numbers, reaches the driver. Pieces
     are numbered within their length by two levels, length and bucket of the document, so
-    that a length that a third of the pieces have is numbered by many tasks.
+    that a length that a third of the pieces have is numbered by many tasks; a rare length has
+    one bucket, and there are at most ``capacity`` buckets beside one for BUCKET_PIECES pieces.
     """
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_PIECES))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(buckets)))
+    # One row a length: at most ``capacity`` rows, whatever the input.
+    buckets = F.broadcast(cut.sparkSession.createDataFrame([(n, -(-k // BUCKET_PIECES)) for n, k in counts.items()], "length bigint, buckets bigint"))
+    dealt = cut.join(buckets, "length").select(*cut.columns, F.pmod(F.xxhash64("doc_id", "th", "piece"), "buckets").alias("bucket"))
     per = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = written(per.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "pack-base")
@@ -273,4 +275,5 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of ``docs`` and its place in a sequence; see ``pack_documents``."""
     return pack_documents(docs).drop("th")

@@ -93,3 +93,24 @@ def test_edges_and_sequences(spark):
     tokens = sorted(t for r in out for t in np.frombuffer(r.ids, "<u4").tolist())
     assert tokens == sorted([*(t for _, x in rows for t in [*library_ids(x or ""), 0])] * 2 + [0])
     assert packing.pack_documents(docs.limit(0)).collect() == []
+
+
+def test_numbering_tables_follow_the_pieces(spark, monkeypatch):
+    """Rare lengths have one bucket, a frequent one as many as it needs; places stay gapless."""
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 50)
+    kept = {}
+    write = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    cut = spark.range(1200).selectExpr("id AS doc_id", "id AS th", "0 AS piece", "0L AS start", "CASE WHEN id < 800 THEN 7 ELSE id % 97 + 1 END AS length", "0L AS ids_crc32")
+    rows = packing.pack(cut, 128).collect()
+    assert kept["pack-base"].count() <= 97 + 1200 // 50
+    full = defaultdict(list)
+    for r in rows:
+        full[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 1200 and len(full) == sum(plain_best_fit([r.length for r in rows], 128).values())
+    for items in full.values():
+        at = 0
+        for o, n in sorted(items):
+            assert o == at
+            at += n
+        assert at <= 128
