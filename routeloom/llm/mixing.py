@@ -151,16 +151,21 @@ def balance(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A source is dealt by hash to blocks of about ``block`` units. Every flight leaves at most
     two units open; those of all blocks fly again, until a source has one block, which lands.
-    A level leaves at most two in ``block`` units, so a few levels serve any size.
+    A level leaves at most two in ``block`` units, so a few levels serve any size. Raises where
+    a level leaves as many open as there were (a ``block`` of one or two), so that none is lost.
     """
     spark = units.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     closed: list[DataFrame] = []
     open_ = units
-    for level in range(100):
+    level, before = 0, None
+    while True:
         counts = written(open_.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
-        final = counts.agg(F.max("n")).first()[0] or 0
-        final = final <= block
+        largest, left = counts.agg(F.max("n"), F.sum("n")).first()
+        final = (largest or 0) <= block
+        if before is not None and not final and left >= before:
+            raise ValueError(f"blocks of {block} units don't shrink what is open")
+        before = left
         dealt = open_.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, open_["source"].eqNullSafe(counts["source"])).select(
             *[open_[c] for c in open_.columns],
             F.concat_ws(
@@ -176,6 +181,7 @@ def balance(units: DataFrame, block: int = BLOCK) -> DataFrame:
         if final:
             break
         open_ = flown.where("p > 0 AND p < 1")
+        level += 1
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)
@@ -218,16 +224,18 @@ def op8_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
+    """``docs`` with each row as often as the mix takes it; see ``mix``.
+
+    Rows travel as structs, so that no name of a column can clash. Rows alike in id, text and source
+    share their copies, the first ones by all columns taking the rest. An empty table gives no rows.
+    """
     drawn = mix(docs)
-    times = drawn.groupBy("doc_id", "th", F.col("source").alias("m_source")).agg(F.sum("copies").alias("m_copies"), F.count(F.lit(1)).alias("m_rows"))
-    times = times.where("m_copies > 0").select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), "m_source", "m_copies", "m_rows")
-    keyed = docs.withColumn("m_text", text_key())
-    same = keyed["doc_id"].eqNullSafe(times["m_id"]) & (keyed["m_text"] == times["m_th"]) & keyed["source"].eqNullSafe(times["m_source"])
-    found = keyed.join(times, same)
-    single = found.where("m_rows = 1")
-    # Rows alike in id, text and source share their copies, the first ones taking the rest.
-    own = Window.partitionBy("m_id", "m_th", "m_source").orderBy("n_chars")
-    several = found.where("m_rows > 1").withColumn("m_k", F.row_number().over(own))
-    several = several.withColumn("m_copies", F.floor((F.col("m_copies") - F.col("m_k")) / F.col("m_rows")) + 1).where("m_copies > 0").drop("m_k")
-    return single.unionByName(several).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("m_copies").cast("int"))).alias("m_again")).select(docs.columns)
+    times = drawn.groupBy("doc_id", "th", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key().alias("h"), F.col("source").alias("of"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")) & F.col("of").eqNullSafe(F.col("source"))
+    found = rows.join(times, same)
+    single = found.where("n = 1").select("row", "copies")
+    own = Window.partitionBy("id", "h", "of").orderBy("row")
+    several = found.where("n > 1").withColumn("k", F.row_number().over(own))
+    several = several.select("row", (F.floor((F.col("copies") - F.col("k")) / F.col("n")) + 1).alias("copies")).where("copies > 0")
+    return single.unionByName(several).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -85,3 +85,18 @@ def test_edges(spark):
     for r in got:
         want[r.doc_id, texts[r.doc_id, r.size]] += r.copies
     assert have == +want
+
+
+def test_blocks_that_cannot_shrink_raise(spark):
+    units = spark.createDataFrame([(i, 0, 1, "a", i % 7 + 1, 0.3) for i in range(40)], mixing.UNIT)
+    with pytest.raises(ValueError, match="shrink"):
+        mixing.balance(units, 1)
+
+
+def test_clashing_names_and_long_texts(spark):
+    names = ["m_text", "m_id", "m_copies", "row", "id", "h", "of", "copies", "n", "k", "th", "size"]
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x", "b"), (3, "y y", "b")], "doc_id bigint, text string, source string").withColumns({c: F.lit(c) for c in names})
+    out = mixing.mix_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == c for r in rows for c in names)
