@@ -138,7 +138,7 @@ def links(prints: DataFrame, max_pairs: int = PAIR_BUCKET) -> DataFrame:
     lies within one bit of both, so each is sent to its 65 such words, and the at most 65
     that meet there are linked to their smallest.
     """
-    keys = prints.mapInArrow(_keys, "key bigint, fp bigint")
+    keys = written(prints.mapInArrow(_keys, "key bigint, fp bigint"), "keys")
     # Written, as the adaptive planner splits a hot key only between two plain exchanges.
     many = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
     shared = written(keys.join(many, "key"), "buckets")
