@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cube_mixing": mixing.op8_cube_mixing,
     "op9_simhash_golay": simhash.op9_simhash_golay,
     "op10_tiff": tiff.op10_tiff,
+    "tiff_page_rows": tiff.tiff_page_rows,
 }
 
 ORACLE_SQL: dict[str, str] = {

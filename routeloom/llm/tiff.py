@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,17 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
-#: How op10 stores a payload: rows of 64 samples, pages of at most 1024 rows.
+#: How a payload is stored: rows of 64 samples, pages of at most 1024 rows, strips of 256 rows or
+#: square tiles. A long payload's last pages differ in coding and layout as their content does.
 PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 1024, 256
+TILE = (64, 64)
+#: A page of so many rows at most takes LZW, which needs no table in front; one where so large a
+#: share of neighbours are equal takes PackBits; all others deflate with predictor 2, in tiles
+#: from two tiles on.
+LZW_ROWS, RUN_SHARE = 2, 0.5
+
+
+CODING_NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD_DEFLATE: "deflate"}
 
 
 class TiffError(ValueError):
@@ -46,7 +55,7 @@ class Page:
 
 def unpack_bits(data: bytes, size: int) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n and len(out) < size:
+    while i < n and len(out) < size:  # a run over the end is cut
         c = data[i]
         i += 1
         if c < 128:
@@ -55,7 +64,7 @@ def unpack_bits(data: bytes, size: int) -> bytes:
         elif c > 128:
             out += data[i : i + 1] * (257 - c)
             i += 1
-    return bytes(out)
+    return bytes(out[:size])
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -78,6 +87,8 @@ def pack_bits(data: bytes) -> bytes:
 
 
 CLEAR, END, FIRST = 256, 257, 258
+#: LZW reaches 1.5 bits for 3838 bytes; deflate and PackBits stay below.
+EXPANSION = 4096
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -202,7 +213,7 @@ def pages(data: bytes) -> Iterator[Page]:
         tags, following = _entries(data, order, at)
         try:
             yield _page(data, order, tags, len(seen) - 1)
-        except (KeyError, IndexError, ValueError, zlib.error, struct.error) as e:
+        except (KeyError, IndexError, ValueError, ArithmeticError, MemoryError, zlib.error, struct.error) as e:
             raise TiffError(f"page {len(seen) - 1}: {e}") from e
         at = following
 
@@ -217,8 +228,16 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]], index: int) -> Pa
     w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
+    if min(width, height, samples, w, h) < 1:
+        raise TiffError(f"sizes {width} x {height} x {samples}, parts of {w} x {h}")
     across, down = -(-width // w), -(-height // h)
     kind = np.dtype(f"{order}u{bits // 8}")
+    # No coding makes more than EXPANSION bytes of one, so what a directory claims beyond that is damage.
+    parts, held = planes * across * down, sum(max(0, min(c, len(data) - o)) for o, c in zip(offsets, counts, strict=False))
+    if parts > min(len(offsets), len(counts)) or width * height * samples * kind.itemsize > EXPANSION * held:
+        raise TiffError(f"{width} x {height} x {samples} samples from {held} bytes in {len(offsets)} parts")
+    if tiled and w * h * deep * kind.itemsize > EXPANSION * held:
+        raise TiffError(f"tiles of {w} x {h}")
     out = np.empty((height, width, samples), f"u{bits // 8}")
     for k in range(planes * across * down):
         plane, r = divmod(k, across * down)
@@ -239,12 +258,25 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]], index: int) -> Pa
     return Page(index, width, height, samples, bits, compression, predictor, tiled, out)
 
 
-def write_tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, order: str = "<", tile: tuple[int, int] | None = None, rows: int = STRIP_ROWS) -> bytes:
-    """A TIFF with one page per image of shape (height, width, samples), 8 or 16 bits."""
+@dataclass
+class Coding:
+    """How a page is written: by strips of ``rows``, or by tiles of (width, height)."""
+
+    compression: int = DEFLATE
+    predictor: int = 1
+    tile: tuple[int, int] | None = None
+    rows: int = STRIP_ROWS
+
+
+def write_tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, order: str = "<", tile: tuple[int, int] | None = None, rows: int = STRIP_ROWS, choose: Callable[[np.ndarray], Coding] | None = None) -> bytes:
+    """A TIFF with one page per image of shape (height, width, samples), 8 or 16 bits; ``choose``
+    gives each page's coding, or all have the one named."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for image in images:
         height, width, samples = image.shape
+        coding = choose(image) if choose else Coding(compression, predictor, tile, rows)
+        compression, predictor, tile, rows = coding.compression, coding.predictor, coding.tile, coding.rows
         w, h = tile or (width, rows)
         offsets, counts = [], []
         for y in range(0, height, h):
@@ -277,6 +309,8 @@ def write_tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor:
     return bytes(out)
 
 
+#: Bytes of pixels that leave in one batch of pages, about.
+PAGE_BATCH = 4_000_000
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
 
@@ -284,16 +318,30 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     kinds = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
     for b in batches:
-        for r, data in enumerate(b.column("media").to_pylist()):
-            key = b.column("media_id").slice(r, 1)
-            found: list[tuple] = []
+        at: list[int] = []
+        rows: list[tuple] = []
+        held = 0
+
+        def taken() -> pa.RecordBatch:
+            columns = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]  # noqa: B023
+            return pa.RecordBatch.from_arrays([b.column("media_id").take(pa.array(at)), *columns], names=["media_id", *names])  # noqa: B023
+
+        def found(data: bytes) -> Iterator[tuple]:
             try:
-                for p in pages(data or b""):
-                    found = [(p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None)]
-                    yield pa.RecordBatch.from_arrays([key, *[pa.array([v], k) for v, k in zip(found[0], kinds, strict=True)]], names=["media_id", *names])
+                for p in pages(data):
+                    yield p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None
             except TiffError as e:
-                bad = [None] * 9 + [str(e)]
-                yield pa.RecordBatch.from_arrays([key, *[pa.array([v], k) for v, k in zip(bad, kinds, strict=True)]], names=["media_id", *names])
+                yield *[None] * 9, str(e)
+
+        for r, data in enumerate(b.column("media").to_pylist()):
+            for row in found(data or b""):
+                at.append(r), rows.append(row)
+                held += len(row[8] or b"")
+                if held > PAGE_BATCH:
+                    yield taken()
+                    at, rows, held = [], [], 0
+        if rows:
+            yield taken()
 
 
 def tiff_pages(media: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -307,10 +355,21 @@ def tiff_pages(media: DataFrame, id_column: str, column: str) -> DataFrame:
     return media.select(F.col(id_column).alias("media_id"), F.col(column).alias("media")).mapInArrow(_page_rows, f"media_id {kind}, {PAGE_SCHEMA}")
 
 
+def _coding(page: np.ndarray) -> Coding:
+    """A page's coding by its content."""
+    flat = page.reshape(-1)
+    if len(page) <= LZW_ROWS:
+        return Coding(LZW)
+    if (flat[1:] == flat[:-1]).mean() >= RUN_SHARE:
+        return Coding(PACKBITS)
+    return Coding(DEFLATE, 2, TILE) if len(page) >= 2 * TILE[1] else Coding(DEFLATE, 2)
+
+
 def store(payload: bytes) -> bytes:
-    """A payload, a multiple of 64 bytes, as pages of 64 samples a row, by deflate with predictor 2."""
+    """A payload, a multiple of 64 bytes, as pages of 64 samples a row, each in the coding and layout
+    that its content calls for."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, PAGE_WIDTH, 1)
-    return write_tiff([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], DEFLATE, 2)
+    return write_tiff([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], choose=_coding)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +379,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or b""
             media = store(text + b"\0" * (-len(text) % 64 or (0 if text else 64)))
             whole, last, n, total, counts = hashlib.sha256(), b"", 0, 0, np.zeros(256, np.int64)
-            k = -1
+            k, codings = -1, []
             for k, p in enumerate(pages(media)):
+                codings.append(f"{CODING_NAMES[p.compression]}{'-tiles' * p.tiled}")
                 data = p.pixels.tobytes()
                 whole.update(data)
                 last = data[-64:]
@@ -329,7 +389,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts += np.bincount(p.pixels.reshape(-1), minlength=256)
             total = int(counts @ np.arange(256))
             share = counts[counts > 0] / n
-            feature = f"pages={k + 1};mean={total / n:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};high={int(counts[128:].sum())}"
+            feature = f"pages={k + 1};codings={','.join(sorted(set(codings)))};mean={total / n:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};high={int(counts[128:].sum())}"
             for column, v in zip(out, (len(text), n, whole.hexdigest(), zlib.crc32(last), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
                 column.append(v)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -341,7 +401,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Each text stored as a TIFF and read back page by page: sizes, digests and a feature.
 
     Uses doc_id and text; other columns are ignored. A null or empty text is a payload of
-    64 zero bytes. Rows are independent, so nothing is shuffled; repeated rows repeat.
+    64 zero bytes. Rows are independent, so nothing is shuffled; repeated rows repeat, and an empty
+    table gives no rows. Very long texts are many pages, read back one at a time.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_digests, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
@@ -350,3 +411,19 @@ def text_media(docs: DataFrame) -> DataFrame:
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of ``documents`` through TIFF and back."""
     return text_media(table(spark, sf_dir, "documents"))
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        media = [store((t or b"") + b"\0" * (-len(t or b"") % 64 or (0 if t else 64))) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
+
+
+def tiff_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page of the whole of ``documents`` as TIFF: its place, layout and pixels' digest."""
+    docs = table(spark, sf_dir, "documents")
+    small_batches(spark)
+    media = docs.select("doc_id", "text").mapInArrow(_stored, "doc_id bigint, media binary")
+    found = tiff_pages(media, "doc_id", "media")
+    digest = F.sha2("pixels", 256).alias("pixels_sha256")
+    return found.select(F.col("media_id").alias("doc_id"), "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", digest, "error")

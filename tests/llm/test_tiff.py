@@ -78,3 +78,60 @@ def test_pages_column(spark):
     assert [p for p, _ in by["a"]] == [0, 1] and by["b"][0][1] and by["c"][0][1] and by["f"][0][1]
     assert by["d"][0] == (0, None) and "loop" in by["d"][1][1] and by["e"][-1][1]
     assert next(r for r in got if r.media_id == "a").pixels == bytes([1]) * 256
+
+
+def test_runs_beyond_the_end_are_cut():
+    assert tiff.unpack_bits(bytes([257 - 100, 7]), 40) == b"\7" * 40
+
+
+@pytest.mark.parametrize(("tag", "value"), [(tiff.ROWS_PER_STRIP, 0), (tiff.WIDTH, 0), (tiff.HEIGHT, 0), (tiff.WIDTH, 1 << 30), (tiff.HEIGHT, 1 << 30), (tiff.SAMPLES, 60000)])
+def test_damaged_sizes_are_rows_with_an_error(spark, tag, value):
+    good = tiff.write_tiff([np.arange(64 * 8, dtype=np.uint8).reshape(8, 64, 1)])
+    bad = bytearray(good)
+    at = int.from_bytes(good[4:8], "little")
+    for k in range(int.from_bytes(good[at : at + 2], "little")):
+        entry = at + 2 + 12 * k
+        if int.from_bytes(good[entry : entry + 2], "little") == tag:
+            bad[entry + 8 : entry + 12] = value.to_bytes(4, "little")
+    with pytest.raises(tiff.TiffError):
+        list(tiff.pages(bytes(bad)))
+    if tag == tiff.WIDTH:
+        media = spark.createDataFrame([(1, bytearray(good)), (2, bad), (3, None)], "k int, m binary")
+        assert sorted((r.media_id, r.page, r.error is None) for r in tiff.tiff_pages(media, "k", "m").collect() if r.media_id == 1) == [(1, 0, True)]
+        assert all(r.error for r in tiff.tiff_pages(media, "k", "m").collect() if r.media_id != 1)
+
+
+def test_damaged_tiles():
+    good = tiff.write_tiff([np.zeros((64, 64, 1), np.uint8)], tiff.PACKBITS, tile=(16, 16))
+    at = int.from_bytes(good[4:8], "little")
+    for tag in (tiff.TILE_WIDTH, tiff.TILE_HEIGHT):
+        for value in (0, 1 << 30):
+            bad = bytearray(good)
+            for k in range(int.from_bytes(good[at : at + 2], "little")):
+                entry = at + 2 + 12 * k
+                if int.from_bytes(good[entry : entry + 2], "little") == tag:
+                    bad[entry + 8 : entry + 12] = value.to_bytes(4, "little")
+            with pytest.raises(tiff.TiffError):
+                list(tiff.pages(bytes(bad)))
+
+
+def test_codings_follow_the_content():
+    rng = np.random.default_rng(1)
+    text = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    payload = text(64 * 1024) + b"a" * 64 * 1024 + text(64 * 100)
+    stored = [(p.compression, p.tiled) for p in tiff.pages(tiff.store(payload))]
+    assert stored == [(tiff.DEFLATE, True), (tiff.PACKBITS, False), (tiff.DEFLATE, False)]
+    assert [(p.compression, p.tiled) for p in tiff.pages(tiff.store(text(128)))] == [(tiff.LZW, False)]
+
+
+def test_page_rows(spark, sf_dir):
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    want = {}
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        for k in range(0, len(payload), 64 * 1024):
+            want[i, k // (64 * 1024)] = hashlib.sha256(payload[k : k + 64 * 1024]).hexdigest()
+    got = tiff.tiff_page_rows(spark, sf_dir).collect()
+    assert {(r.doc_id, r.page): r.pixels_sha256 for r in got} == want and all(r.error is None for r in got)
+    assert {r.compression for r in got} >= {tiff.LZW, tiff.DEFLATE} and {r.tiled for r in got} == {True, False}
