@@ -126,5 +126,14 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * 6_371_008.8 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def crossing(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
+    """The point (x, y) where the segments ab and cd meet; null if they don't, or are parallel."""
+    det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+    u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / F.nullif(det, F.lit(0.0))
+    v = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / F.nullif(det, F.lit(0.0))
+    meet = (F.abs(det) > 1e-9) & u.between(0, 1) & v.between(0, 1)
+    return F.when(meet, F.struct((ax + u * (bx - ax)).alias("x"), (ay + u * (by - ay)).alias("y")))
+
+
 def counter_clockwise(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
     return (bx - ax) * (cy - ay) - (cx - ax) * (by - ay) > 1e-9

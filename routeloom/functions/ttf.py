@@ -175,6 +175,11 @@ def fifo(f: Column) -> Column:
     return F.transform(f, lambda p, i: F.struct(p["at"].alias("at"), (F.array_min(F.transform(F.slice(f, i + 1, F.size(f)), lambda q: q["at"] + q["val"])) - p["at"]).alias("val")))
 
 
+def fifo_up(f: Column) -> Column:
+    """Travel times raised so that nobody overtakes: the latest arrival of a point and all before."""
+    return F.transform(f, lambda p, i: F.struct(p["at"].alias("at"), (F.array_max(F.transform(F.slice(f, 1, i + 1), lambda q: q["at"] + q["val"])) - p["at"]).alias("val")))
+
+
 def is_fifo(f: Column) -> Column:
     return F.forall(_segments(f), lambda s: s["a"]["at"] + s["a"]["val"] <= s["b"]["at"] + s["b"]["val"])
 

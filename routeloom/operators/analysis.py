@@ -53,6 +53,11 @@ def pairwise(values: DataFrame, group: str, on: str, value: str) -> DataFrame:
     )
 
 
+def best_runs(runs: DataFrame, by: list[str], run: str, value: str) -> DataFrame:
+    """Of each group the run with the least value, the smallest of equals."""
+    return runs.groupBy(*by).agg(F.min_by(run, F.struct(value, run)).alias(run), F.min(value).alias(value))
+
+
 def describe(rows: DataFrame, value: str) -> DataFrame:
     q = lambda p: F.round(F.percentile(value, F.lit(p)), 4)
     return rows.agg(

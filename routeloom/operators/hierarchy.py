@@ -7,6 +7,7 @@ ancestors (``ancestor_labels``).
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,19 @@ def min_degree_order(graph: Graph) -> list[int]:
             if u != v:
                 near[u].add(v)
                 near[v].add(u)
-    left, order = set(range(n)), []
-    while left:
-        u = min(left, key=lambda x: (len(near[x]), x))
-        left.remove(u)
+    # A heap of (degree, node), entries of old degrees passed over: near-linear for sparse graphs.
+    heap, done, order = [(len(near[u]), u) for u in range(n)], [False] * n, []
+    heapq.heapify(heap)
+    while heap:
+        d, u = heapq.heappop(heap)
+        if done[u] or d != len(near[u]):
+            continue
+        done[u] = True
         order.append(u)
         for v in near[u]:
-            near[v] |= near[u] - {v}
-            near[v].discard(u)
+            near[v] |= near[u]
+            near[v] -= {u, v}
+            heapq.heappush(heap, (len(near[v]), v))
     return order
 
 
@@ -142,6 +148,29 @@ class Metric:
         d = min((x + b[m] for m, x in a.items() if m in b), default=INF)
         return None if d == INF else d
 
+    def pruned(self) -> "Metric":
+        """Without edges that are infinite, or longer than a way over another edge up and one
+        across; after a perfect customization the rest has all distances."""
+        keep_out: list[dict[int, float]] = []
+        keep_in: list[dict[int, float]] = []
+        for m, higher in enumerate(self.h.up):
+            out, into = dict(self.out[m]), dict(self.into[m])
+            for a in higher:
+                for b in higher:
+                    if a == b:
+                        continue
+                    lo, hi = min(a, b), max(a, b)
+                    across = self.out[lo].get(hi, INF) if a < b else self.into[lo].get(hi, INF)
+                    back = self.into[lo].get(hi, INF) if a < b else self.out[lo].get(hi, INF)
+                    # Over a to b, and from b over a: shorter than the edge itself by a positive amount.
+                    if self.out[m][a] + across < self.out[m][b]:
+                        out.pop(b, None)
+                    if self.into[m][a] + back < self.into[m][b]:
+                        into.pop(b, None)
+            keep_out.append({b: w for b, w in out.items() if w < INF})
+            keep_in.append({b: w for b, w in into.items() if w < INF})
+        return Metric(self.h, keep_out, keep_in)
+
     def shortcuts(self) -> list[tuple[int, int, float, float]]:
         return [(a, b, self.out[a][b], self.into[a][b]) for a in range(len(self.out)) for b in self.out[a]]
 

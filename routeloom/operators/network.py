@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions import roads
+from routeloom.operators.tables import written
 
 
 def weigh(edges: DataFrame) -> DataFrame:
@@ -24,16 +25,43 @@ def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # Written, so that what is counted and what is numbered are the same partitions.
+    placed = written(placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "placed")
     counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return placed.join(F.broadcast(base), placed["_p"] == base["_q"]).withColumn(name, F.col("_base") + F.col("_r") - 1).drop("_p", "_r", "_q", "_base")
 
 
+def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before, by ``order``: range partitions are
+    summed by themselves, and one number for each meets in one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(rows.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()), "placed")
+    own = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_p").agg(F.sum(value).alias("_n"))
+    base = sums.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    whole = placed.withColumn("_r", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return whole.join(F.broadcast(base), F.col("_p") == F.col("_q")).withColumn(name, F.col("_base") + F.col("_r")).drop("_p", "_q", "_r", "_base")
+
+
+def coordinates(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, x, y) with latitude from y and longitude from x, in single precision."""
+    return nodes.withColumns({"latitude": F.col("y").cast("float"), "longitude": F.col("x").cast("float")})
+
+
+def reachable_edges(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """The view of a graph without edges whose weight is infinite, which is null in tables."""
+    return edges.where(F.col(weight).isNotNull())
+
+
+def tails(first_out: DataFrame) -> DataFrame:
+    """edge_id and tail from a node's first edge and degree (``csr``)."""
+    return first_out.where("degree > 0").select(F.explode(F.sequence("first_out", F.col("first_out") + F.col("degree") - 1)).alias("edge_id"), F.col("node_id").alias("tail"))
+
+
 def edge_ids(edges: DataFrame) -> DataFrame:
     """Edge ids: the place in the order of tail, head and then the rest that is given."""
-    w = Window.orderBy("tail", "head")
-    return edges.withColumn("edge_id", F.row_number().over(w) - 1)
+    return dense_ids(edges, ["tail", "head"], "edge_id")
 
 
 def trip_queries(trips: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,9 +80,8 @@ def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def csr(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, degree and first_out: the number of edges before the node's first."""
     degree = edges.groupBy(F.col("tail").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     d = nodes.select("node_id").join(degree, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("degree"))
-    return d.withColumn("first_out", F.coalesce(F.sum("degree").over(w), F.lit(0)))
+    return running_sum(d, "node_id", "degree", "first_out")
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -102,7 +129,7 @@ def u_turn(penalty: int) -> Column:
 def bounding_box(edges: DataFrame, nodes: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
     """The subgraph within a box, with nodes numbered anew (node, from node_id)."""
     inside = nodes.where(F.col("lat").between(*lat) & F.col("lon").between(*lon))
-    numbered = inside.withColumn("node", F.row_number().over(Window.orderBy("node_id")) - 1)
+    numbered = dense_ids(inside, ["node_id"], "node")
     a = numbered.select(F.col("node_id").alias("tail"), F.col("node").alias("new_tail"))
     b = numbered.select(F.col("node_id").alias("head"), F.col("node").alias("new_head"))
     rest = [c for c in edges.columns if c not in ("tail", "head")]

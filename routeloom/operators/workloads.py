@@ -104,6 +104,25 @@ def a_star(graph: Graph, source: int, target: int, bound: Callable[[int], float]
     return None, len(done)
 
 
+def search_spaces(queries: DataFrame, dist: DataFrame) -> DataFrame:
+    """source, target, settled, radius: the nodes that a search settles up to the target, from
+    distances of the queries' sources; ties by node."""
+    to = dist.select(F.col("source").alias("s"), F.col("node").alias("target"), F.struct(F.col("dist").alias("d"), F.col("node").alias("v")).alias("end"))
+    q = queries.join(to, (F.col("s") == F.col("source")) & (queries["target"] == to["target"])).select("source", queries["target"], "end")
+    n = dist.select(F.col("source").alias("s"), "dist", F.struct(F.col("dist").alias("d"), F.col("node").alias("v")).alias("at"))
+    inside = q.join(n, q["source"] == n["s"]).where("at <= end")
+    return inside.groupBy("source", "target").agg(F.count(F.lit(1)).alias("settled"), F.max("dist").alias("radius"))
+
+
+def alternative_pairs(alternatives: DataFrame) -> DataFrame:
+    """query_id, first, second and how many distinct edges the two share, for all pairs of a trip's
+    few alternatives (query_id, alt_ix, path)."""
+    a = alternatives.select("query_id", F.col("alt_ix").alias("first"), F.col("path").alias("p1"))
+    b = alternatives.select("query_id", F.col("alt_ix").alias("second"), F.col("path").alias("p2"))
+    both = a.join(b, "query_id").where("first < second")
+    return both.select("query_id", "first", "second", F.size(F.array_intersect("p1", "p2")).alias("shared"))
+
+
 def exact_bounds(graph: Graph, target: int) -> Callable[[int], float]:
     """Distances to the target by one search backwards; it serves all queries to that target."""
     back = reversed_graph(graph)

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions import kernels, roads, ttf
 from routeloom.operators import analysis, assignment, hierarchy, measurements, network, routing, search, workloads
-from routeloom.plans.tables import Tables, duck
+from routeloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from routeloom.plans.tables import Tables
 from routeloom.sources import formats
 from routeloom.streaming import link_speed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 INTERVAL = 900
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of Tables as a query, with its SQL over base and derived names."""
-
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[name] = duck(sql)
-        return f
-
-    return register
-
-
 def _functions(t: Tables) -> DataFrame:
     return t.points.groupBy("edge_id").agg(ttf.collect("at_ms").alias("f"))
 
@@ -1049,7 +1033,8 @@ def _(t):
 
 @query("G31_contracted_chains")
 def _(t):
-    return workloads.contract_chains(t.edges.where("weight % 3 = 0"))
+    # Each nation's way to its nearest neighbour.
+    return workloads.contract_chains(t.edges.groupBy("tail").agg(F.min_by("head", F.struct("weight", "head")).alias("head"), F.min("weight").alias("weight")))
 
 
 @query(

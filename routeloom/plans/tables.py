@@ -24,12 +24,21 @@ DERIVED = {
           l.l_linenumber - 1 AS lanes, -(l.l_linenumber % 6) AS priority, l.l_tax AS tax, l.l_partkey AS partkey
         FROM {lines} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
           JOIN {supplier} s ON l.l_suppkey = s.s_suppkey""",
-    # A sparse directed graph over nations with one edge per pair.
+    # A sparse directed graph over nations: of each, the nine that it trades most with.
     "pairs": """
-        SELECT c.c_nationkey AS tail, s.s_nationkey AS head, CAST(1 + SUM(l.l_orderkey) % 997 AS BIGINT) AS weight
-        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
-          JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
-        WHERE c.c_nationkey <> s.s_nationkey AND (c.c_nationkey * 7 + s.s_nationkey * 3) % 5 IN (0, 1) GROUP BY c.c_nationkey, s.s_nationkey""",
+        SELECT tail, head, weight FROM (
+          SELECT c.c_nationkey AS tail, s.s_nationkey AS head, CAST(1 + SUM(l.l_orderkey) % 997 AS BIGINT) AS weight,
+            row_number() OVER (PARTITION BY c.c_nationkey ORDER BY COUNT(*) DESC, s.s_nationkey) AS place
+          FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
+            JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
+          WHERE c.c_nationkey <> s.s_nationkey GROUP BY c.c_nationkey, s.s_nationkey) x
+        WHERE place <= 9""",
+    # A city of customers: rows of 30 houses, streets to the next house and to the next row.
+    "blocks": """
+        SELECT a.c_custkey AS one, b.c_custkey AS other, CAST(1 + FLOOR(ABS(a.c_acctbal)) % 97 AS BIGINT) AS there, CAST(1 + FLOOR(ABS(b.c_acctbal)) % 89 AS BIGINT) AS back
+        FROM (SELECT c_custkey, c_acctbal, c_custkey + 30 AS beside FROM {customer} UNION ALL SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 30 <> 0 THEN c_custkey + 1 END AS beside FROM {customer}) a
+          JOIN {customer} b ON b.c_custkey = a.beside""",
+    "streets": "SELECT one AS tail, other AS head, there AS weight FROM {blocks} UNION ALL SELECT other AS tail, one AS head, back AS weight FROM {blocks}",
     "edges": "SELECT CAST(row_number() OVER (ORDER BY tail, head) - 1 AS INT) AS edge_id, tail, head, weight FROM {pairs}",
     "places": """
         SELECT n_nationkey AS node_id, CAST(40 + (n_nationkey * 37 % 100) / 10.0 AS DOUBLE) AS lat, CAST(5 + (n_nationkey * 53 % 100) / 10.0 AS DOUBLE) AS lon,

@@ -177,20 +177,72 @@ def vector(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"i bigint, value {spark_kind}")
 
 
+def vector_parts(parts: DataFrame, kind: str) -> DataFrame:
+    """Index and value from parts of a vector (first, bytes), as ``sinks.write_vector`` leaves them."""
+    import numpy as np
+    import pyarrow as pa
+
+    dtype = np.dtype("<" + kind)
+
+    def run(batches):
+        for b in batches:
+            for first, data in zip(b.column("first").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                v = np.frombuffer(data, dtype)
+                for at in range(0, len(v), 1 << 16):
+                    part = v[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + at, first + at + len(part))), pa.array(part.astype(float if dtype.kind == "f" else np.int64))], names=["i", "value"])
+
+    return parts.mapInArrow(run, f"i bigint, value {'double' if dtype.kind == 'f' else 'bigint'}")
+
+
+def _ranges(first: DataFrame, name: str) -> DataFrame:
+    """``name``, a, b: each place of an offset vector with its value and the next place's."""
+    after = first.select((F.col("i") - 1).alias("j"), F.col("value").alias("b"))
+    return first.join(after, F.col("i") == F.col("j")).where("b > value").select(F.col("i").alias(name), F.col("value").alias("a"), "b")
+
+
 def csr_edges(first_out: DataFrame, head: DataFrame, weight: DataFrame) -> DataFrame:
     """Edges of a compressed graph from its vectors (i, value): the tail of edge e is the node
     whose range of first_out holds e."""
-    nxt = F.lead("value").over(Window.orderBy("i"))
-    ranges = first_out.select(F.col("i").alias("tail"), F.col("value").alias("a"), nxt.alias("b")).where("b > a")
-    each = ranges.select("tail", F.explode(F.sequence("a", F.col("b") - 1)).alias("edge_id"))
+    each = _ranges(first_out, "tail").select("tail", F.explode(F.sequence("a", F.col("b") - 1)).alias("edge_id"))
     h, w = head.select(F.col("i").alias("edge_id"), F.col("value").alias("head")), weight.select(F.col("i").alias("edge_id"), F.col("value").alias("weight"))
     return each.join(h, "edge_id").join(w, "edge_id").select("edge_id", "tail", "head", F.when(F.col("weight") != 2_147_483_647, F.col("weight")).alias("weight"))
 
 
+_EXPERIMENT = {"in_dir": "string", "prefix": "string", "trip_file": "string", "begin": "double", "end": "double", "aggregation": "double", "conv_deviation": "double", "conv_relgap": "double", "last_iter": "int"}
+
+
+def _experiments(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "").where(~F.col("value").startswith("#"))
+    parts = F.split("value", ";")
+    rows = lines.select("value", F.size(parts).alias("fields"), *[F.try_element_at(parts, F.lit(k + 1)).try_cast(kind).alias(n) for k, (n, kind) in enumerate(_EXPERIMENT.items())])
+    numbers = [F.col(n).isNotNull() for n, kind in _EXPERIMENT.items() if kind != "string"]
+    complete = F.col("fields") == len(_EXPERIMENT)
+    for c in numbers:
+        complete = complete & c
+    return rows.withColumn("complete", complete)
+
+
 def experiments(spark: SparkSession, path: str) -> DataFrame:
-    """Instances of an experiment: nine fields by ';', '#' for comments; incomplete lines drop."""
-    schema = "in_dir string, prefix string, trip_file string, begin double, end double, aggregation double, conv_deviation double, conv_relgap double, last_iter int"
-    return spark.read.options(sep=";", comment="#", mode="DROPMALFORMED").schema(schema).csv(path).where("last_iter IS NOT NULL")
+    """Instances of an experiment: nine fields by ';', '#' for comments. Incomplete lines are left
+    out; ``rejected_experiments`` has them."""
+    return _experiments(spark, path).where("complete").select(*_EXPERIMENT)
+
+
+def rejected_experiments(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``experiments`` leaves out, as they stand."""
+    return _experiments(spark, path).where("NOT complete").select("value")
+
+
+def potential_graph(vectors: dict[str, DataFrame]) -> DataFrame:
+    """A hierarchy for potentials from its vectors (i, value): forward and backward edges (forward,
+    tail, head, weight) between ranks, with the nodes that ``order`` puts at these ranks."""
+    out = None
+    for side in ("forward", "backward"):
+        e = csr_edges(*(vectors[f"{side}_{part}"] for part in ("first_out", "head", "weight"))).select(F.lit(side == "forward").alias("forward"), "tail", "head", "weight")
+        out = e if out is None else out.unionByName(e)
+    at = lambda name: vectors["order"].select(F.col("i").alias(name), F.col("value").alias(f"{name}_node"))
+    return out.join(at("tail"), "tail").join(at("head"), "head")
 
 
 def algo_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -255,11 +307,13 @@ def model_dump(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("record").agg(model.alias("model"), numbers("PARAMS").alias("params"), numbers("DENSITIES").alias("densities"), numbers("SPEEDS").alias("speeds"))
 
 
-def query_set(spark: SparkSession, folder: str, names: dict[str, str]) -> DataFrame:
-    """Queries from a folder of raw column files: query_id and a column for each file's type."""
+def query_set(spark: SparkSession, folder: str, names: dict[str, str], parts: bool = False) -> DataFrame:
+    """Queries from a folder of raw column files (or of their ``parts``): query_id and a column for
+    each file's type."""
     out = None
     for name, kind in names.items():
-        c = vector(spark, f"{folder}/{name}", kind).select(F.col("i").alias("query_id"), F.col("value").alias(name))
+        read = vector_parts(spark.read.parquet(f"{folder}/{name}"), kind) if parts else vector(spark, f"{folder}/{name}", kind)
+        c = read.select(F.col("i").alias("query_id"), F.col("value").alias(name))
         out = c if out is None else out.join(c, "query_id")
     return out
 
@@ -272,9 +326,7 @@ def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
 def td_edges(edges: DataFrame, first_point: DataFrame, at: DataFrame, val: DataFrame, scale: float | None = None) -> DataFrame:
     """Edges with travel-time functions from vectors (i, value): points of edge e are those in
     its range of ``first_point``. ``scale`` divides both columns, as 1000 does for seconds."""
-    nxt = F.lead("value").over(Window.orderBy("i"))
-    ranges = first_point.select(F.col("i").alias("edge_id"), F.col("value").alias("a"), nxt.alias("b")).where("b > a")
-    each = ranges.select("edge_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("k"))
+    each = _ranges(first_point, "edge_id").select("edge_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("k"))
     cut = lambda df, name: df.select(F.col("i").alias("k"), (F.col("value") / scale if scale else F.col("value")).alias(name))
     points = each.join(cut(at, "at"), "k").join(cut(val, "val"), "k")
     f = points.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("at", "val"))).alias("f"))

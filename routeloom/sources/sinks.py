@@ -32,6 +32,13 @@ def write_alternatives(alternatives: DataFrame, path: str) -> None:
     _xml(ordered.select("id", "depart", F.struct(F.col("last").alias("_last"), F.col("r").alias("route")).alias("routeDistribution")), path, "routes", "vehicle")
 
 
+def write_batches(chosen: DataFrame, path: str) -> None:
+    """Vehicles (batch, id, depart, edges) as one folder of routes for each batch of a simulation."""
+    ordered = chosen.repartition("batch").sortWithinPartitions("batch", (F.col("depart") * 1000).cast("bigint"), "id")
+    rows = ordered.select("batch", F.col("id").alias("_id"), F.col("depart").alias("_depart"), F.struct(F.array_join("edges", " ").alias("_edges")).alias("route"))
+    rows.write.format("xml").options(rootTag="routes", rowTag="vehicle", attributePrefix="_", declaration="").partitionBy("batch").mode("overwrite").save(path)
+
+
 def write_trips(trips: DataFrame, path: str) -> None:
     _xml(trips.orderBy("depart", "id"), path, "trips", "trip")
 
@@ -107,6 +114,46 @@ def tpgr_lines(edges: DataFrame, functions: DataFrame, nodes: int, period: int =
     return head.union(first).union(rest).orderBy("edge_id", "k").select("value")
 
 
+def tbgr(first_out: DataFrame, edges: DataFrame, points: DataFrame, period: int) -> DataFrame:
+    """The binary graph with travel-time functions, as numbers (section, i, k, value) in its order.
+
+    ``first_out`` has i and value; edges edge_id, head and first_point; points i, at and val. All are
+    signed 32-bit numbers: five of the header, a node's first edge, an edge's head and first point,
+    and a point's departure and travel time.
+    """
+    spark = edges.sparkSession
+    head = [2, first_out.count() - 1, edges.count(), points.count(), period]
+    top = spark.createDataFrame([(0, 0, k, v) for k, v in enumerate(head)], "section int, i bigint, k int, value bigint")
+    pair = lambda df, section, key, a, b: df.select(F.lit(section).alias("section"), F.col(key).cast("bigint").alias("i"), F.posexplode(F.array(F.col(a).cast("bigint"), F.col(b).cast("bigint"))).alias("k", "value"))
+    nodes = first_out.where(F.col("i") < head[1]).select(F.lit(1).alias("section"), F.col("i").cast("bigint").alias("i"), F.lit(0).alias("k"), F.col("value").cast("bigint").alias("value"))
+    return top.unionByName(nodes).unionByName(pair(edges, 2, "edge_id", "head", "first_point")).unionByName(pair(points, 3, "i", "at", "val"))
+
+
+def query_lines(queries: DataFrame) -> DataFrame:
+    """Lines 'source departure target' of a query set, by query."""
+    return queries.orderBy("query_id").select(F.format_string("%d %d %d", "source", "departure", "target").alias("value"))
+
+
+def latex_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """The body of a LaTeX table: a heading, then a line for each row in order; cells are escaped."""
+    escape = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("--")), r"([&%$#_{}])", r"\\$1")
+    head = rows.sparkSession.createDataFrame([(" & ".join(c.replace("_", r"\_") for c in columns) + r" \\ \midrule",)], "value string").select(F.lit(0).alias("part"), F.lit(None).alias("key"), "value")
+    body = rows.select(F.lit(1).alias("part"), F.struct(*order).alias("key"), F.concat(F.concat_ws(" & ", *[escape(F.col(c)) for c in columns]), F.lit(r" \\")).alias("value"))
+    return head.select("part", F.lit(None).cast(body.schema["key"].dataType).alias("key"), "value").unionByName(body).orderBy("part", "key").select("value")
+
+
+def write_contexts(values: dict[str, object], contexts: dict[str, DataFrame], path: str) -> None:
+    """A report as one JSON object: the run's values, and an array of rows for each context.
+
+    Meant for measured runs, some thousands of rows; each context meets in one row.
+    """
+    spark = next(iter(contexts.values())).sparkSession
+    out = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+    for name, rows in contexts.items():
+        out = out.crossJoin(F.broadcast(rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name))))
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
 def metric_lines(rows: DataFrame) -> DataFrame:
     """Phase lines 'executable; path; iteration; phase; nanoseconds'."""
     return rows.select(F.concat_ws("; ", "executable", "path", F.col("iteration").cast("string"), "phase", F.col("nanos").cast("string")).alias("value"))

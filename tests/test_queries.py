@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from routeloom.plans import queries
+from routeloom.plans import graph_queries, io_queries, queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
