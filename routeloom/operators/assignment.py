@@ -209,3 +209,67 @@ def assign(trips: DataFrame, route: Callable[[DataFrame, DataFrame], DataFrame],
         gaps.append(float(gap or 0.0))
         weights = written(cost(chosen, weights), "weights")
     return alternatives, gaps
+
+
+def chosen_routes(alternatives: DataFrame, most: int, seed: int, a: float = 0.5, keeps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Alternatives with probabilities shifted by Gawron and pruned, and the route chosen of each query.
+
+    ``keeps`` (query_id, alt_ix) are queries that keep their route, whatever is drawn.
+    """
+    from routeloom.operators.tables import written
+
+    g = alternatives.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("alt_ix", "path", "cost", "prob"))).alias("r"))
+    probs = gawron(F.transform("r", lambda x: x["cost"]), F.transform("r", lambda x: x["prob"]), a)
+    each = g.select("query_id", F.explode(F.zip_with("r", probs, lambda x, p: F.struct(x["alt_ix"].alias("alt_ix"), x["path"].alias("path"), x["cost"].alias("cost"), p.alias("prob")))).alias("x")).select("query_id", "x.*")
+    kept = written(prune(each, most), "alternatives")
+    drawn = choose(kept, seed)
+    if keeps is not None:
+        held = keeps.select("query_id", F.col("alt_ix").alias("held")).join(kept.select("query_id", F.col("alt_ix").alias("held")), ["query_id", "held"], "left_semi")
+        drawn = drawn.join(held, "query_id", "left").select("query_id", F.coalesce("held", "alt_ix").alias("alt_ix"))
+    return kept, written(kept.join(drawn, ["query_id", "alt_ix"]), "chosen")
+
+
+def two_stage_step(trips: DataFrame, weights: DataFrame, before: tuple[DataFrame, DataFrame] | None, route: Callable[[DataFrame, DataFrame], DataFrame], adjust: Callable[[DataFrame, DataFrame | None, DataFrame], DataFrame], along: Callable[[DataFrame, DataFrame], DataFrame], most: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame, float]:
+    """One iteration of two-stage assignment: alternatives, chosen routes and the relative gap.
+
+    Shortest routes on the simulated ``weights`` join the alternatives of ``before`` (alternatives,
+    chosen) and are chosen from for a first time. ``adjust(weights, old, new)`` gives the weights
+    that follow when vehicles leave their old routes for the chosen ones; routes that are shortest
+    then, with their costs on the simulated weights (``along(found, weights)``), join too, and the
+    final choice is made. ``route(trips, weights)`` gives query_id, path, cost.
+    """
+    from routeloom.operators.tables import written
+
+    def merged(old: DataFrame | None, found: DataFrame) -> DataFrame:
+        if old is None:
+            return found.select("query_id", F.lit(0).alias("alt_ix"), "path", "cost", F.lit(1.0).alias("prob"))
+        return written(merge_new_paths(old, found), "merged")
+
+    shortest = written(route(trips, weights), "shortest")
+    first = merged(before[0] if before else None, shortest)
+    _, preferred = chosen_routes(first, most, seed)
+    after = written(adjust(weights, before[1] if before else None, preferred), "adjusted")
+    second = written(along(route(trips, after).select("query_id", "path"), weights), "second")
+    alternatives, chosen = chosen_routes(merged(first, second), most, seed + 1)
+    gap = relative_gap(chosen.select("query_id", F.col("cost").alias("simulated")).join(shortest.select("query_id", F.col("cost").alias("best")), "query_id")).first()["gap"]
+    return alternatives, chosen, float(gap or 0.0)
+
+
+def two_stage(trips: DataFrame, weights: DataFrame, rounds: int, route: Callable, adjust: Callable, along: Callable, most: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Iterations of ``two_stage_step``, each on the weights that the last one's choice leaves; with
+    the gap of every iteration."""
+    before, gaps, now = None, [], weights
+    for k in range(rounds):
+        alternatives, chosen, gap = two_stage_step(trips, now, before, route, adjust, along, most, seed + 2 * k)
+        now = adjust(now, before[1] if before else None, chosen)
+        before = (alternatives, chosen)
+        gaps.append(gap)
+    return before[0], before[1], gaps
+
+
+def iteration_gaps(routes: DataFrame, best: DataFrame) -> DataFrame:
+    """The relative gap of every iteration from the routes driven (iteration, query_id, cost) and the
+    best costs on that iteration's weights; one job over all of them."""
+    d = routes.join(best.select("iteration", "query_id", F.col("cost").alias("best")), ["iteration", "query_id"]).withColumn("d", F.col("cost") - F.col("best"))
+    excess = F.when((F.abs("d") < 1) | (F.col("d") < 0), 0.0).otherwise(F.col("d"))
+    return d.groupBy("iteration").agg((F.sum(excess) / F.sum("best")).alias("gap"), F.count(F.lit(1)).alias("trips"))

@@ -52,19 +52,18 @@ def contract(edges: DataFrame, core: int = 64) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, arcs, empty), e
 
 
-def labels(nodes: DataFrame, arcs: DataFrame, core: DataFrame) -> tuple[DataFrame, DataFrame]:
+def labels(nodes: DataFrame, arcs: DataFrame, core: DataFrame, forward: bool) -> DataFrame:
     """Hub labels (node, hub, d) of ``nodes`` (node), for ``search.label_distances``: the nodes found
-    upwards from each; forward ones also lead through the core."""
-
-    def upwards(forward: bool) -> DataFrame:
-        e = arcs.where(F.col("forward") == forward).select(F.col("low").alias("tail"), F.col("high").alias("head"), "weight")
-        return search.relax(e, nodes.select(F.col("node").alias("source"))).select(F.col("source").alias("node"), F.col("node").alias("hub"), F.col("dist").alias("d"))
-
+    upwards from each, or that lead down to it; forward ones also lead through the core."""
+    e = arcs.where(F.col("forward") == forward).select(F.col("low").alias("tail"), F.col("high").alias("head"), "weight")
+    found = search.relax(e, nodes.select(F.col("node").alias("source"))).select(F.col("source").alias("node"), F.col("node").alias("hub"), F.col("dist").alias("d"))
+    if not forward:
+        return found
     inner = core.select(F.col("tail").alias("source")).union(core.select("head")).distinct()
-    through = search.relax(core, inner).select(F.col("source").alias("enter"), F.col("node").alias("leave"), "dist")
-    out, into = upwards(True), upwards(False)
-    wide = out.join(through, out["hub"] == through["enter"]).select("node", F.col("leave").alias("hub"), (F.col("d") + F.col("dist")).alias("d"))
-    return written(out.unionByName(wide).groupBy("node", "hub").agg(F.min("d").alias("d")), "labels"), into
+    through = search.relax(core, found.select(F.col("hub").alias("source")).join(inner, "source").distinct())
+    through = through.select(F.col("source").alias("enter"), F.col("node").alias("leave"), "dist")
+    wide = found.join(through, found["hub"] == through["enter"]).select("node", F.col("leave").alias("hub"), (F.col("d") + F.col("dist")).alias("d"))
+    return written(found.unionByName(wide).groupBy("node", "hub").agg(F.min("d").alias("d")), "labels")
 
 
 def label_nearest(sources: DataFrame, targets: DataFrame, out: DataFrame, into: DataFrame, k: int) -> DataFrame:

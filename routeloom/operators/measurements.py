@@ -67,17 +67,22 @@ def overlaps(spans: DataFrame, width: int) -> DataFrame:
     return s.withColumns({"begin_s": F.col("k") * width, "seconds": seconds}).drop("k")
 
 
-def as_of(points: DataFrame, series: DataFrame, key: str) -> DataFrame:
+def as_of(points: DataFrame, series: DataFrame, key: str, width: int) -> DataFrame:
     """The last value of ``series`` (key, at, val) at or before each point's ``t``.
 
-    One union and one window by key: a scan carries the last value forward, where a join on
-    an inequality would compare all pairs. A key with a large share of the rows should be
-    extended by a bucket of time.
+    One union and one window by key and bucket of ``width``: a scan carries the last value forward,
+    where a join on an inequality would compare all pairs, and a hot key is many groups. Each
+    bucket begins with the last value before it, carried over the buckets' own last ones.
     """
+    k = F.floor(F.col("t") / width).alias("_k")
     a = series.select(key, F.col("at").alias("t"), F.struct("at", "val").alias("_v"), F.lit(0).alias("_o"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns if c not in (key, "t")])
     b = points.select(key, "t", F.lit(None).cast(a.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_o"), *[c for c in points.columns if c not in (key, "t")])
-    w = Window.partitionBy(key).orderBy("t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_o = 1")
+    rows = a.unionByName(b).withColumn("_k", k)
+    each = rows.groupBy(key, "_k").agg(F.max("_v").alias("_end"))
+    before = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(key, "_k", F.last("_end", ignorenulls=True).over(before).alias("_v")).where("_v IS NOT NULL")
+    w = Window.partitionBy(key, "_k").orderBy(F.col("t").asc_nulls_first(), "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = rows.unionByName(carried.withColumn("_o", F.lit(0)), allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_o = 1")
     return u.select(*points.columns, F.col("_last.at").alias("at"), F.col("_last.val").alias("val"))
 
 

@@ -51,7 +51,7 @@ def guided(graph: Graph, source: int, target: int, bound: Callable[[int], float]
     """Arrival at the target minus ``start``, and the nodes settled, by a search in the order of
     arrival plus ``bound``; a node that can't reach the target is never queued."""
     s, t = graph.number.get(source), graph.number.get(target)
-    if s is not None and s == t:
+    if source == target:
         return 0.0, 1
     if s is None or t is None or bound(source) == INF:
         return None, 0

@@ -8,6 +8,7 @@ it asks for a graph of a checked size. ``label_distances`` joins precomputed lab
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from routeloom.operators.tables import written
 
-#: A graph is sent to every task up to this many edges (about 24 bytes each); a larger one
-#: is searched by ``relax``.
+#: A graph is sent to every task up to this many edges (24 bytes each in ``Graph``'s arrays, beside
+#: its nodes, and ten times that for points of functions); a larger one is searched by ``relax``.
 MAX_BROADCAST_EDGES = 20_000_000
+MAX_BROADCAST_POINTS = 4_000_000
 
 
 def relax(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, weight: str = "weight") -> DataFrame:
@@ -39,8 +41,8 @@ def relax(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, weight
         both = written(joined, "dist")
         best, front = both.drop("changed"), both.where("changed").drop("changed")
         if front.limit(1).count() == 0:
-            break
-    return best
+            return best
+    raise RuntimeError(f"distances still change after {max_rounds} rounds")
 
 
 def parents(edges: DataFrame, dist: DataFrame, weight: str = "weight") -> DataFrame:
@@ -57,9 +59,11 @@ class Graph:
         self.nodes, inverse = np.unique(np.concatenate([tail, head]), return_inverse=True)
         t, h = inverse[: len(tail)], inverse[len(tail) :]
         order = np.lexsort((edge, h, t))
-        self.first = np.searchsorted(t[order], np.arange(len(self.nodes) + 1)).tolist()
-        self.head, self.edge = h[order].tolist(), edge[order].tolist()
-        self.weight = None if weight is None else weight[order].tolist()
+        # Arrays of the array module: as small as numpy's, and single numbers are read faster.
+        whole = lambda x: array("q", np.ascontiguousarray(x, np.int64).tobytes())
+        self.first = whole(np.searchsorted(t[order], np.arange(len(self.nodes) + 1)))
+        self.head, self.edge = whole(h[order]), whole(edge[order])
+        self.weight = None if weight is None else whole(weight[order]) if np.issubdtype(np.asarray(weight).dtype, np.integer) else array("d", np.ascontiguousarray(weight[order], float).tobytes())
         self.points = None if points is None else [points[i] for i in order]
         self.number = {int(n): k for k, n in enumerate(self.nodes)}
 
@@ -105,9 +109,9 @@ def load_graph(edges: DataFrame, points: DataFrame | None = None, weight: str =
     ``points`` (edge_id, at, val) makes it time-dependent. Raises ValueError beyond
     ``max_edges``; use ``relax`` there.
     """
-    n = edges.count() + (points.count() if points is not None else 0)
-    if n > max_edges:
-        raise ValueError(f"{n} edges and points are too many to broadcast; use relax()")
+    n, p = edges.count(), points.count() if points is not None else 0
+    if n > max_edges or p > MAX_BROADCAST_POINTS:
+        raise ValueError(f"{n} edges and {p} points are too many to broadcast; use relax()")
     rows = edges.where(F.col(weight).isNotNull()).select("edge_id", "tail", "head", F.col(weight).alias("w")).toPandas() if points is None else edges.select("edge_id", "tail", "head").toPandas()
     tail, head, edge = (rows[c].to_numpy(np.int64) for c in ("tail", "head", "edge_id"))
     if points is None:

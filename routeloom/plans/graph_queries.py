@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions import roads, ttf
-from routeloom.operators import contraction, hierarchy, network, potentials, search, workloads
+from routeloom.operators import assignment, contraction, hierarchy, network, potentials, search, workloads
 from routeloom.plans.queries import _ALL, _STQ, _functions, _hubs, _rounds, _timed_graph, _timed_queries
 from routeloom.plans.registry import query
 from routeloom.plans.tables import Tables
@@ -32,18 +32,17 @@ _CITY = f"""WITH RECURSIVE h AS ({_HOUSES}), d(s, v, d) USING KEY (s, v) AS (
 
 @query("G12_contraction", f"{_CITY} SELECT s AS source, v AS target, d AS dist FROM d")
 def _(t):
-    arcs, core = contraction.contract(t.streets)
+    arcs, core = contraction.contract(t.streets, 100)
     everywhere = t.customer.select(F.col("c_custkey").alias("node"))
-    out, _ = contraction.labels(t.sql(_HOUSES), arcs, core)
-    _, into = contraction.labels(everywhere, arcs, core)
+    out, into = contraction.labels(t.sql(_HOUSES), arcs, core, True), contraction.labels(everywhere, arcs, core, False)
     return search.many_to_many(t.sql(_HOUSES).withColumnRenamed("node", "source"), everywhere.withColumnRenamed("node", "target"), out, into)
 
 
 @query("G17_nearest_houses", f"{_CITY} SELECT s AS source, v AS node, d AS dist, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS k FROM d WHERE v IN (SELECT node FROM h)) x WHERE k <= 4")
 def _(t):
-    arcs, core = contraction.contract(t.streets)
+    arcs, core = contraction.contract(t.streets, 100)
     houses = t.sql(_HOUSES)
-    out, into = contraction.labels(houses, arcs, core)
+    out, into = (contraction.labels(houses, arcs, core, forward) for forward in (True, False))
     return contraction.label_nearest(houses.withColumnRenamed("node", "source"), houses.withColumnRenamed("node", "target"), out, into, 4)
 
 
@@ -222,14 +221,14 @@ _TDS = _TDS.replace("CAST(c_custkey * 104729 % 86400000 AS BIGINT) AS departure"
 
 @query(
     "G6_td_ranks",
-    f"""{_TDS} SELECT q.query_id, q.source, q.target, CAST(round(r.t - q.departure, 2) AS DOUBLE) AS dist, (SELECT count(*) FROM r{_ROUNDS} n WHERE n.query_id = q.query_id AND (n.t, n.node) <= (r.t, r.node)) AS settled
+    f"""{_TDS} SELECT q.query_id, q.source, q.target, CAST(round(r.t - q.departure, 4) AS DOUBLE) AS dist, (SELECT count(*) FROM r{_ROUNDS} n WHERE n.query_id = q.query_id AND (n.t, n.node) <= (r.t, r.node)) AS settled
     FROM q JOIN r{_ROUNDS} r ON r.query_id = q.query_id AND r.node = q.target""",
 )
 def _(t):
     q = t.sql(_STQ).withColumn("departure", F.pmod(F.col("query_id") * 104729, F.lit(86_400_000)) / 1000)
     timed = t.edges.select((F.col("edge_id") % 50).cast("int").alias("f_id"), "edge_id").join(t.points.withColumnRenamed("edge_id", "f_id"), "f_id").select("edge_id", (F.col("at_ms") / 1000).alias("at"), (F.col("val") / 1000).alias("val"))
     found = potentials.td_with_ranks(q, search.load_graph(t.edges, timed), 86_400.0)
-    return found.where("dist IS NOT NULL").select("query_id", "source", "target", F.round("dist", 2).alias("dist"), "settled")
+    return found.where("dist IS NOT NULL").select("query_id", "source", "target", F.round("dist", 4).alias("dist"), "settled")
 
 
 # --- views, sets and formulas ---------------------------------------------------------------
@@ -334,3 +333,53 @@ def _(t):
     best = analysis.best_runs(m, ["algorithm", "instance"], "repetition", "total")
     middle = best.groupBy("algorithm").agg(F.round(F.median(F.col("total").cast("double")), 2).alias("median"))
     return best.join(middle, "algorithm").select("algorithm", "instance", "repetition", F.round(F.col("total").cast("double"), 2).alias("total"), "median")
+
+
+# --- assignment -----------------------------------------------------------------------------
+
+
+def _route(trips: DataFrame, weights: DataFrame) -> DataFrame:
+    found = search.dijkstra(trips, search.load_graph(weights))
+    return found.where("dist IS NOT NULL AND size(edge_path) > 0").select("query_id", F.col("edge_path").alias("path"), F.col("dist").cast("double").alias("cost"))
+
+
+def _route_guided(trips: DataFrame, weights: DataFrame) -> DataFrame:
+    """As ``_route``, but answered by a search from both ends' labels for the cost."""
+    graph = search.load_graph(weights)
+    metric = hierarchy.Hierarchy(graph, hierarchy.min_degree_order(graph)).customize()
+    return potentials.with_potentials(trips, graph, metric).where("dist > 0").select("query_id", F.col("dist").cast("double").alias("cost"))
+
+
+def _adjust(weights: DataFrame, old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """An edge gets slower by one for four vehicles more, and faster for those that leave it."""
+    use = new.select(F.explode("path").alias("e"), F.lit(1).alias("n"))
+    if old is not None:
+        use = use.unionByName(old.select(F.explode("path").alias("e"), F.lit(-1).alias("n")))
+    per = use.groupBy("e").agg(F.sum("n").alias("n"))
+    slower = F.greatest(F.lit(1), F.col("weight") + F.floor(F.coalesce("n", F.lit(0)) / 4)).cast("bigint")
+    return weights.join(per, weights["edge_id"] == per["e"], "left").select("edge_id", "tail", "head", slower.alias("weight"))
+
+
+def _along(found: DataFrame, weights: DataFrame) -> DataFrame:
+    hops = found.select("query_id", F.posexplode("path").alias("k", "edge_id")).join(weights.select("edge_id", "weight"), "edge_id")
+    return hops.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "edge_id"))), lambda x: x["edge_id"]).alias("path"), F.sum("weight").cast("double").alias("cost"))
+
+
+@query("D9_two_stage")
+def _(t):
+    alternatives, _, _ = assignment.two_stage(t.sql(_STQ), t.edges, 2, _route, _adjust, _along)
+    return alternatives.select("query_id", "alt_ix", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.round("cost", 4).alias("cost"), F.round("prob", 6).alias("prob"))
+
+
+@query("D8_D10_routers", f"{_ALL} SELECT k.router, q.query_id, CAST(d.d AS DOUBLE) AS cost FROM ({_STQ}) q JOIN d5 d ON d.s = q.source AND d.v = q.target AND d.d > 0, (VALUES ('dijkstra'), ('guided')) k(router)")
+def _(t):
+    a = _route(t.sql(_STQ), t.edges).select(F.lit("dijkstra").alias("router"), "query_id", "cost")
+    return a.unionByName(_route_guided(t.sql(_STQ), t.edges).select(F.lit("guided").alias("router"), "query_id", "cost"))
+
+
+@query("D12_iteration_gaps", "SELECT l_linenumber AS iteration, CAST(round(sum(CASE WHEN abs(c - b) < 1 OR c < b THEN 0 ELSE c - b END) / sum(b), 9) AS DOUBLE) AS gap, count(*) AS trips FROM (SELECT l_linenumber, l_extendedprice::DOUBLE AS c, l_extendedprice::DOUBLE - (l_orderkey % 50 - 10) AS b FROM {lines}) x GROUP BY l_linenumber")
+def _(t):
+    trip = F.concat_ws("-", "l_orderkey", "pos").alias("query_id")
+    driven = t.lines.select(F.col("l_linenumber").alias("iteration"), trip, F.col("l_extendedprice").cast("double").alias("cost"))
+    best = t.lines.select(F.col("l_linenumber").alias("iteration"), trip, (F.col("l_extendedprice").cast("double") - (F.col("l_orderkey") % 50 - 10)).alias("cost"))
+    return assignment.iteration_gaps(driven, best).select("iteration", F.round("gap", 9).alias("gap"), "trips")

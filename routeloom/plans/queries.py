@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import kernels, roads, ttf
 from routeloom.operators import analysis, assignment, hierarchy, measurements, network, routing, search, workloads
+from routeloom.operators.tables import if_small
 from routeloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from routeloom.plans.tables import Tables
 from routeloom.sources import formats
@@ -19,6 +20,15 @@ def _functions(t: Tables) -> DataFrame:
     return t.points.groupBy("edge_id").agg(ttf.collect("at_ms").alias("f"))
 
 
+#: Functions, of some kB each, that are broadcast at most.
+FUNCTIONS = 20_000
+
+
+def _small_functions(t: Tables) -> DataFrame:
+    """All functions, broadcast where they are few."""
+    return if_small(_functions(t), FUNCTIONS)
+
+
 # --- projections, filters, ids -------------------------------------------------------------
 
 
@@ -353,7 +363,7 @@ def _(t):
 
 @query("J14_as_of", "SELECT d.event_id, d.t, p.at_ms, p.val FROM {departures} d ASOF JOIN {points} p ON d.edge_id = p.edge_id AND d.t >= p.at_ms")
 def _(t):
-    return measurements.as_of(t.departures.select("edge_id", "t", "event_id"), t.points.withColumnRenamed("at_ms", "at"), "edge_id").select("event_id", "t", F.col("at").alias("at_ms"), "val")
+    return measurements.as_of(t.departures.select("edge_id", "t", "event_id"), t.points.withColumnRenamed("at_ms", "at"), "edge_id", 3_600_000).select("event_id", "t", F.col("at").alias("at_ms"), "val")
 
 
 @query("J15_positional_zip", "WITH a AS (SELECT weight, row_number() OVER (ORDER BY tail, head) AS k FROM {edges}), b AS (SELECT weight, row_number() OVER (ORDER BY head, tail) AS k FROM {edges}) SELECT CAST(a.k AS BIGINT) AS k, a.weight AS a, b.weight AS b FROM a JOIN b USING (k) WHERE a.weight <> b.weight")
@@ -450,7 +460,7 @@ _EVAL = "CASE WHEN n.n <= 2 THEN n.first_val WHEN x.t = x.at_ms THEN x.val ELSE
 
 @query("F1_eval", f"WITH {_AROUND} SELECT x.event_id, CAST({_EVAL} AS BIGINT) AS tt FROM x JOIN n USING (edge_id)")
 def _(t):
-    return t.departures.join(F.broadcast(_functions(t)), "edge_id").select("event_id", ttf.eval_ms(F.col("f"), F.col("t")).alias("tt"))
+    return t.departures.join(_small_functions(t), "edge_id").select("event_id", ttf.eval_ms(F.col("f"), F.col("t")).alias("tt"))
 
 
 @query(
@@ -460,7 +470,7 @@ def _(t):
 def _(t):
     p = t.points.select("edge_id", (F.col("at_ms") / 1000).alias("at"), (F.col("val") / 1000).alias("val"))
     f = p.groupBy("edge_id").agg(ttf.collect().alias("f"))
-    return t.departures.join(F.broadcast(f), "edge_id").select("event_id", F.round(ttf.eval_s(F.col("f"), F.col("t") / 1000), 3).alias("tt"))
+    return t.departures.join(if_small(f, FUNCTIONS), "edge_id").select("event_id", F.round(ttf.eval_s(F.col("f"), F.col("t") / 1000), 3).alias("tt"))
 
 
 @query("A3_bounds", "SELECT edge_id, min(val) AS lo, max(val) AS hi FROM {points} GROUP BY edge_id")
@@ -492,7 +502,7 @@ _BOTH_ENDS = _AROUND.replace("SELECT event_id, edge_id, t FROM {departures}", "S
     FROM g LEFT JOIN {{points}} p ON p.edge_id = g.edge_id AND p.at_ms BETWEEN g.t1 AND g.t2 GROUP BY g.event_id, g.lo, g.hi""",
 )
 def _(t):
-    d = t.departures.where("t + 7200000 < 86400000").join(F.broadcast(_functions(t)), "edge_id")
+    d = t.departures.where("t + 7200000 < 86400000").join(_small_functions(t), "edge_id")
     f, a, b = F.col("f"), F.col("t"), F.col("t") + 7_200_000
     return d.select("event_id", ttf.lower_bound_in(f, a, b).alias("lo"), ttf.upper_bound_in(f, a, b).alias("hi"))
 
@@ -527,7 +537,7 @@ def _(t):
     FROM e JOIN s USING (edge_id)""",
 )
 def _(t):
-    d = t.departures.join(F.broadcast(_functions(t)), "edge_id")
+    d = t.departures.join(_small_functions(t), "edge_id")
     live = F.when(F.col("edge_id") % 3 != 0, F.lit(2_000_000).cast("bigint"))
     return d.select("event_id", ttf.live_optimistic(F.col("f"), live, F.lit(0).cast("bigint"), F.col("t")).alias("tt"))
 
@@ -538,15 +548,22 @@ def _(t):
     SELECT e.event_id, CAST(CASE WHEN e.edge_id % 3 = 0 THEN e.v ELSE greatest(e.v, least(5000000, s.v0 + 86400000 - e.t)) END AS BIGINT) AS tt FROM e JOIN s USING (edge_id)""",
 )
 def _(t):
-    d = t.departures.join(F.broadcast(_functions(t)), "edge_id")
+    d = t.departures.join(_small_functions(t), "edge_id")
     live = F.when(F.col("edge_id") % 3 != 0, F.lit(5_000_000).cast("bigint"))
     return d.select("event_id", ttf.live_pessimistic(F.col("f"), live, F.lit(86_400_000).cast("bigint"), F.col("t")).alias("tt"))
 
 
-@query("F10_N9_path_times")
+#: Hops of each order's path, and the time after each.
+_PATH = """WITH RECURSIVE seg AS (SELECT edge_id, at_ms AS a, val AS v, lead(at_ms) OVER w AS b, lead(val) OVER w AS u FROM {points} WINDOW w AS (PARTITION BY edge_id ORDER BY at_ms)),
+    h AS (SELECT l_orderkey AS q, CAST(l_suppkey % 50 AS INT) AS edge_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS k FROM {lines} WHERE l_suppkey % 50 IN (SELECT edge_id FROM {points})),
+    r(q, k, t) AS (SELECT DISTINCT q, CAST(0 AS BIGINT), CAST(q * 7919 % 86400000 AS BIGINT) FROM h
+      UNION ALL SELECT r.q, h.k, CAST(r.t + s.a + s.v + (r.t % 86400000 - s.a) * (s.b + s.u - s.a - s.v) // (s.b - s.a) - r.t % 86400000 AS BIGINT)
+        FROM r JOIN h ON h.q = r.q AND h.k = r.k + 1 JOIN seg s ON s.edge_id = h.edge_id AND r.t % 86400000 >= s.a AND r.t % 86400000 < s.b)"""
+
+
+@query("F10_N9_path_times", _PATH + " SELECT q, CAST(max(t) - min(t) AS BIGINT) AS tt, CAST(max(t) AS BIGINT) AS arrival FROM r GROUP BY q")
 def _(t):
-    f = F.broadcast(_functions(t))
-    hops = t.lines.select(F.col("l_orderkey").alias("q"), "pos", (F.col("l_suppkey") % 50).cast("int").alias("edge_id")).join(f, "edge_id")
+    hops = t.lines.select(F.col("l_orderkey").alias("q"), "pos", (F.col("l_suppkey") % 50).cast("int").alias("edge_id")).join(_small_functions(t), "edge_id")
     paths = hops.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]).alias("fs"))
     depart = F.pmod(F.col("q") * 7919, F.lit(86_400_000))
     return paths.select("q", ttf.along(F.col("fs"), depart).alias("tt"), F.element_at(ttf.timed_path(F.col("fs"), depart), -1).alias("arrival"))
@@ -792,13 +809,6 @@ def _(t):
     return search.dijkstra(t.sql(_STQ), search.load_graph(t.edges)).select("query_id", "source", "target", "dist")
 
 
-@query("G5_td_queries")
-def _(t):
-    q = t.sql(_STQ).withColumn("departure", F.pmod(F.col("query_id") * 104729, F.lit(86_400_000)))
-    timed = t.edges.select((F.col("edge_id") % 50).cast("int").alias("f_id"), "edge_id").join(t.points.withColumnRenamed("edge_id", "f_id"), "f_id").select("edge_id", F.col("at_ms").alias("at"), "val")
-    return search.td_dijkstra(q, search.load_graph(t.edges, timed)).select("query_id", "source", "target", "departure", "dist")
-
-
 def _hubs(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Labels from the hierarchy's ancestors; a node without edges is its own hub."""
     graph = search.load_graph(t.edges)
@@ -882,7 +892,7 @@ _SECOND_EVAL = """q AS (SELECT event_id, edge_id, t / 1000.0 AS t FROM {departur
 
 def _evaluated(t: Tables, how: str) -> DataFrame:
     h = kernels.combined(_pairs(t), "edge_id", how)
-    d = t.departures.select("event_id", "edge_id", (F.col("t") / 1000).alias("t")).join(F.broadcast(h), "edge_id")
+    d = t.departures.select("event_id", "edge_id", (F.col("t") / 1000).alias("t")).join(if_small(h, FUNCTIONS), "edge_id")
     return d.select("event_id", F.round(ttf.eval_s(F.col("h"), F.col("t")), 3).alias("tt"))
 
 
@@ -978,15 +988,29 @@ def _(t):
     return alternatives.select("query_id", "alt_ix", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.round("cost", 4).alias("cost"), F.round("prob", 6).alias("prob"))
 
 
-@query("F27_merged_alternatives")
+@query(
+    "F27_merged_alternatives",
+    """WITH f AS (SELECT l_orderkey AS query_id, l_partkey AS p, CASE WHEN l_orderkey % 2 = 0 THEN l_suppkey ELSE -1 END AS s, l_extendedprice / 2 AS cost FROM {lines} WHERE pos = 1),
+    j AS (SELECT a.query_id, a.alt_ix, a.partkey, a.suppkey, a.prob, a.partkey = f.p AND a.suppkey = f.s AS same, CAST(a.cost AS DOUBLE) AS old, CAST(f.cost AS DOUBLE) AS new, f.p FROM {alternatives} a JOIN f ON f.query_id = a.query_id),
+    k AS (SELECT *, bool_or(same) OVER (PARTITION BY query_id) AS known, count(*) OVER (PARTITION BY query_id) AS n FROM j)
+    SELECT query_id, CAST(alt_ix AS INT) AS alt_ix, partkey || ' ' || suppkey AS path, round(CASE WHEN same THEN new ELSE old END, 3) AS cost, round(CASE WHEN known THEN prob ELSE prob * n / (n + 1) END::DOUBLE, 6) AS prob FROM k
+    UNION ALL SELECT query_id, CAST(max(alt_ix) + 1 AS INT), any_value(p) || ' -1', round(any_value(new), 3), round(1.0 / (any_value(n) + 1)::DOUBLE, 6) FROM k WHERE NOT known GROUP BY query_id""",
+)
 def _(t):
     a = t.alternatives.groupBy("query_id", "alt_ix").agg(F.array(F.first("partkey"), F.first("suppkey")).alias("path"), F.first("cost").alias("cost"), F.first("prob").cast("double").alias("prob"))
     found = t.lines.where("pos = 1").select(F.col("l_orderkey").alias("query_id"), F.array("l_partkey", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_suppkey")).otherwise(F.lit(-1).cast("bigint"))).alias("path"), (F.col("l_extendedprice") / 2).alias("cost"))
     m = assignment.merge_new_paths(a, found)
-    return m.select("query_id", "alt_ix", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.round("cost", 2).alias("cost"), F.round("prob", 6).alias("prob"))
+    return m.select("query_id", "alt_ix", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"), F.round("cost", 3).alias("cost"), F.round("prob", 6).alias("prob"))
 
 
-@query("S26_N13_log_state")
+@query(
+    "S26_N13_log_state",
+    """WITH l AS (SELECT 'f' || (user_id % 20) AS file, event_id AS line, event_id % 500 = 0 AS e, event_id % 500 <> 0 AND event_id % 50 = 1 AS s, event_id % 500 <> 0 AND event_id % 50 IN (2, 30) AS p FROM {events}),
+    c AS (SELECT *, max(CASE WHEN e THEN line END) OVER w AS le, max(CASE WHEN s THEN line END) OVER w AS ls, max(CASE WHEN p THEN line END) OVER w AS lp FROM l WINDOW w AS (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING))
+    SELECT file, line, '/x/run_' || le AS experiment, CAST(CASE WHEN ls >= coalesce(le, -1) THEN ls // 50 END AS INT) AS step,
+      CASE WHEN ls >= coalesce(le, -1) AND lp >= coalesce(ls, -1) THEN CASE WHEN lp % 50 = 2 THEN 'router' ELSE 'simulation' END END AS part, CAST(NULL AS DOUBLE) AS rel_gap,
+      CASE WHEN NOT (e OR s OR p) THEN 'phase' || (line % 7) END AS phase, CASE WHEN NOT (e OR s OR p) THEN line END AS phase_ns, CAST(NULL AS VARCHAR) AS duration FROM c""",
+)
 def _(t):
     text = F.when(F.col("event_id") % 500 == 0, F.format_string("Calling it with output directory: /x/run_%d and arguments: a", F.col("event_id")))
     text = text.when(F.col("event_id") % 50 == 1, F.format_string("> Executing step %d", F.floor(F.col("event_id") / 50))).when(F.col("event_id") % 50 == 2, F.lit(">> Running router"))
@@ -1016,17 +1040,16 @@ def _(t):
     return workloads.ball_queries(_distances(t), 6, 6, 1)
 
 
-@query("G34_verified_run", "SELECT CAST(0 AS BIGINT) AS differing")
-def _(t):
-    graph = search.load_graph(t.edges)
-    kernel = search.dijkstra(t.sql(_STQ).select("source", "target").distinct(), graph).select("source", "target", "dist")
-    out, into = _hubs(t)
-    labels = search.label_distances(t.sql(_STQ).select("source", "target").distinct(), out, into).select("source", "target", "dist")
-    both = kernel.where("dist IS NOT NULL")
-    return workloads.disagreements(both, labels, ["source", "target"]).agg(F.count(F.lit(1)).alias("differing"))
+_WINDOWS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(workloads.day_windows(3_600_000)))
 
 
-@query("G27_window_bounds")
+@query(
+    "G27_window_bounds",
+    f"""WITH w(k, a, b) AS (VALUES {_WINDOWS}), seg AS (SELECT edge_id, at_ms AS a, val AS v, lead(at_ms) OVER w AS b, lead(val) OVER w AS u FROM {{points}} WINDOW w AS (PARTITION BY edge_id ORDER BY at_ms)),
+    ends AS (SELECT s.edge_id, w.k, s.a + s.v + (x.at - s.a) * (s.b + s.u - s.a - s.v) // (s.b - s.a) - x.at AS v FROM w, LATERAL (SELECT unnest([w.a, w.b]) AS at) x JOIN seg s ON x.at >= s.a AND x.at < s.b),
+    every AS (SELECT * FROM ends UNION ALL SELECT p.edge_id, w.k, p.val FROM w JOIN {{points}} p ON p.at_ms > w.a AND p.at_ms < w.b)
+    SELECT edge_id, k, CAST(min(v) AS BIGINT) AS lo, CAST(max(v) AS BIGINT) AS hi FROM every GROUP BY edge_id, k""",
+)
 def _(t):
     return workloads.window_bounds(_functions(t), workloads.day_windows(3_600_000))
 
