@@ -37,6 +37,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables written by this process, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -45,9 +49,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many tables ``written`` has made so far; where ``drop_written`` may begin."""
+    return len(_made)
+
+
+def drop_written(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``written`` made after the first ``since``, but for the last one; for a
+    job that needs only that one from now on."""
+    old = _made[since:-1]
+    for path in old:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _made[since:-1]
+
+
 #: Numbers in a written table up to which it is broadcast.
 SMALL = 4_000_000
 
