@@ -20,10 +20,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``; each reads its predecessor's table."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over the whole of ``documents``; each reads its predecessor's table. What a stage
+    has written on its way is deleted once its output is."""
+    docs, begun = common.table(spark, sf_dir, "documents"), common.tables_written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.written(docs, name)
+            common.drop_written(spark, begun)
     return docs
