@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.functions import roads
+from routeloom.functions import chance, roads
 from routeloom.functions.ttf import let
 
 
@@ -104,7 +104,7 @@ def prune(alternatives: DataFrame, most: int) -> DataFrame:
 
 def uniform(seed: int, *columns: str) -> Column:
     """A number in [0, 1) from a hash: the same for the same row, however it is partitioned."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return chance.uniform(*columns, seed)
 
 
 def choose(alternatives: DataFrame, seed: int) -> DataFrame:
@@ -131,7 +131,7 @@ def samples(queries: DataFrame, shares: list[float], seed: int) -> DataFrame:
     for s in shares[:-1]:
         upto = min(n, upto + int(n * s / total + 0.5))
         cuts.append(upto)
-    ranked = dense_ids(queries.withColumn("_u", F.xxhash64("query_id", F.lit(seed))), ["_u", "query_id"], "_rank")
+    ranked = dense_ids(queries.withColumn("_u", chance.drawn("query_id", seed)), ["_u", "query_id"], "_rank")
     sample = F.lit(len(shares) - 1)
     for k in reversed(range(len(cuts))):
         sample = F.when(F.col("_rank") < cuts[k], k).otherwise(sample)

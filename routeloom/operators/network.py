@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.functions import roads
+from routeloom.functions import chance, roads
 from routeloom.operators.tables import written
 
 
@@ -199,7 +199,7 @@ def valid_trips(trips: DataFrame, edges: DataFrame, begin: float, end: float) ->
 
 def scaled(edges: DataFrame, factor: float, share: float, seed: int) -> DataFrame:
     """Weights of a share of the edges, chosen by a hash of the id and a seed, times a factor."""
-    chosen = F.pmod(F.xxhash64("edge_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    chosen = chance.uniform("edge_id", seed) < share
     return edges.withColumn("weight", F.when(chosen, (F.col("weight") * factor).cast("bigint")).otherwise(F.col("weight")))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routeloom.functions import ttf
+from routeloom.functions import chance, ttf
 from routeloom.operators import assignment, search
 from routeloom.operators.search import Graph
 from routeloom.operators.tables import written
@@ -21,7 +21,7 @@ from routeloom.operators.tables import written
 
 def uniform_queries(spark: SparkSession, nodes: int, n: int, seed: int, period: int | None = None) -> DataFrame:
     """n queries between nodes drawn at random, with departures in the period if it is given."""
-    u = lambda k, top: F.pmod(F.xxhash64("query_id", F.lit(seed), F.lit(k)), F.lit(top))
+    u = lambda k, top: chance.drawn("query_id", seed, k) % top
     q = spark.range(n).select(F.col("id").alias("query_id")).select("query_id", u(0, nodes).alias("source"), u(1, nodes).alias("target"))
     return q if period is None else q.withColumn("departure", u(2, period))
 
@@ -243,7 +243,7 @@ def random_trips(nodes: DataFrame, per_interval: dict[int, int], interval: int,
     n = nodes.count()
     plan = spark.createDataFrame(list(per_interval.items()), "k int, trips int")
     t = plan.select("k", "trips", F.explode(F.sequence(F.lit(0), F.col("trips") - 1)).alias("i")).where("trips > 0")
-    u = lambda s: F.pmod(F.xxhash64("k", "i", F.lit(seed), F.lit(s)), F.lit(n))
+    u = lambda s: chance.drawn("k", "i", seed, s) % n
     return t.select(F.concat_ws("-", "k", "i").alias("id"), u(0).alias("source"), u(1).alias("target"), (F.col("k") * interval + F.col("i") * interval / F.col("trips")).alias("depart"))
 
 

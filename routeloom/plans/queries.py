@@ -29,6 +29,14 @@ def _small_functions(t: Tables) -> DataFrame:
     return if_small(_functions(t), FUNCTIONS)
 
 
+def _draw(*parts) -> str:
+    """A draw of ``functions.chance`` in SQL; numbers are seeds."""
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(f"'{p}'" if isinstance(p, int) else p for p in parts) + "), 1, 12) AS BIGINT)"
+
+
+_U = f"{float(1 << 48):.1f}::DOUBLE"
+
+
 # --- projections, filters, ids -------------------------------------------------------------
 
 
@@ -224,7 +232,7 @@ def _(t):
     return network.with_live(t.edges, t.sql(_LIVE)).select("edge_id", "tail", "head", "weight")
 
 
-@query("P27_P28_scaled_weights")
+@query("P27_P28_scaled_weights", f"SELECT edge_id, tail, head, CASE WHEN {_draw('edge_id', 17)} / {_U} < 0.4 THEN CAST(trunc(weight * 1.25) AS BIGINT) ELSE weight END AS weight FROM {{edges}}")
 def _(t):
     return network.scaled(t.edges, 1.25, 0.4, 17)
 
@@ -765,12 +773,12 @@ def _(t):
     return g.select("query_id", F.explode(F.arrays_zip(F.transform("r", lambda x: x["alt_ix"]).alias("a"), p.alias("p"))).alias("z")).select("query_id", F.col("z.a").alias("alt_ix"), F.round("z.p", 6).alias("prob"))
 
 
-@query("F24_choice")
+@query("F24_choice", f"WITH c AS (SELECT query_id, alt_ix, sum(prob::DOUBLE) OVER (PARTITION BY query_id ORDER BY alt_ix ROWS UNBOUNDED PRECEDING) AS upto, sum(prob::DOUBLE) OVER (PARTITION BY query_id) AS whole, {_draw('query_id', 5)} / {_U} AS u FROM {{alternatives}}) SELECT query_id, CAST(min(alt_ix) AS INT) AS alt_ix FROM c WHERE upto > u * whole GROUP BY query_id")
 def _(t):
     return assignment.choose(t.alternatives, 5)
 
 
-@query("F25_F26_samples")
+@query("F25_F26_samples", f"WITH r AS (SELECT o_orderkey AS query_id, row_number() OVER (ORDER BY {_draw('o_orderkey', 3)}, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM {{orders}}) SELECT query_id, CASE WHEN k < floor(n * 0.5 + 0.5) THEN 0 WHEN k < floor(n * 0.5 + 0.5) + floor(n * 0.3 + 0.5) THEN 1 ELSE 2 END AS sample, {_draw('query_id', 4)} / {_U} < 0.25 AS keeps FROM r")
 def _(t):
     q = t.orders.select(F.col("o_orderkey").alias("query_id"))
     return assignment.kept_routes(assignment.samples(q, [0.5, 0.3, 0.2], 3), 0.25, 4)
@@ -1030,7 +1038,7 @@ def _(t):
     return workloads.components(t.edges)
 
 
-@query("G33_uniform_queries")
+@query("G33_uniform_queries", f"SELECT CAST(query_id AS BIGINT) AS query_id, {_draw('query_id', 7, 0)} % 25 AS source, {_draw('query_id', 7, 1)} % 25 AS target, {_draw('query_id', 7, 2)} % 86400000 AS departure FROM range(10000) AS r(query_id)")
 def _(t):
     return workloads.uniform_queries(t.spark, 25, 10_000, 7, 86_400_000)
 
@@ -1112,14 +1120,25 @@ def _(t):
     return h.where("at_ms < 36000000").select("edge_id").union(h.where("at_ms >= 57600000 AND val > 3000000").select("edge_id")).distinct()
 
 
-@query("A13_paired_tests")
+_P = "(1 / (1 + 0.2316419 * abs(z)))"
+
+
+@query(
+    "A13_paired_tests",
+    f"""WITH r AS (SELECT algorithm, iteration, avg(value::DOUBLE) AS v FROM ({_RUNS}) x GROUP BY ALL), d AS (SELECT a.v - b.v AS d FROM r a JOIN r b ON a.iteration = b.iteration AND a.algorithm = 'F' AND b.algorithm = 'O'),
+    k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0), w AS (SELECT count(*) AS m, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus FROM k),
+    s AS (SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM d), z AS (SELECT *, (w_plus - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24) AS z FROM s, w)
+    SELECT 'F-O' AS pair, n, round(mean, 5) AS mean, round(mean / sd, 7) AS cohen_d, round(mean / (sd / sqrt(n)), 7) AS t, CAST(w_plus AS DOUBLE) AS w_plus, round(z, 9) AS z,
+      round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * {_P} * (0.319381530 + {_P} * (-0.356563782 + {_P} * (1.781477937 + {_P} * (-1.821255978 + {_P} * 1.330274429)))), 6) AS p_rank FROM z""",
+)
 def _(t):
-    r = t.sql(_RUNS).groupBy("algorithm", "iteration").agg(F.avg("value").alias("v"))
+    r = t.sql(_RUNS).groupBy("algorithm", "iteration").agg(F.avg(F.col("value").cast("double")).alias("v"))
     a, b = r.where("algorithm = 'F'").select("iteration", F.col("v").alias("a")), r.where("algorithm = 'O'").select("iteration", F.col("v").alias("b"))
-    return workloads.paired_tests(a.join(b, "iteration").withColumn("pair", F.lit("F-O")), ["pair"], "a", "b")
+    found = workloads.paired_tests(a.join(b, "iteration").withColumn("pair", F.lit("F-O")), ["pair"], "a", "b")
+    return found.withColumns({c: F.round(c, k) for c, k in (("mean", 5), ("cohen_d", 7), ("t", 7), ("z", 9), ("p_rank", 6))})
 
 
-@query("D13_random_trips")
+@query("D13_random_trips", f"SELECT k || '-' || i AS id, {_draw('k', 'i', 5, 0)} % 25 AS source, {_draw('k', 'i', 5, 1)} % 25 AS target, CAST(k * 3600 + i * 3600 / n::DOUBLE AS DOUBLE) AS depart FROM (VALUES (0, 200), (1, 500), (2, 300)) AS p(k, n), range(500) AS r(i) WHERE i < n")
 def _(t):
     return workloads.random_trips(t.places, {0: 200, 1: 500, 2: 300}, 3600, 5)
 
