@@ -68,46 +68,101 @@ def shortest(graph: Graph, source: int, target: int, weight: list[float]) -> tup
     return labels[t], [source, *(int(graph.nodes[graph.head[k]]) for k in places)], places
 
 
-def penalty_alternatives(graph: Graph, source: int, target: int, most: int = 10, raise_by: float = 1.1, stretch: float = 1.25, fresh: float = 0.05, tries: int = 50) -> list[list[int]]:
+@dataclass
+class Penalties:
+    """Weights that grow around the routes found so far, for alternatives by the penalty method."""
+
+    graph: Graph
+    base: int  # the best distance
+    times: int = 5  # that a node counts
+
+    def __post_init__(self) -> None:
+        g = self.graph
+        self.weight = list(g.weight)
+        self.seen = [0] * len(g.nodes)
+        self.tail = [u for u in range(len(g.nodes)) for _ in range(g.first[u], g.first[u + 1])]
+        self.into: list[list[int]] = [[] for _ in g.nodes]
+        for k, v in enumerate(g.head):
+            self.into[v].append(k)
+
+    def raise_around(self, places: list[int]) -> bool:
+        """Raises a route's edges by a tenth, and edges that leave or rejoin it by up to a hundredth of
+        the best distance, the more the farther along it; false if all its nodes have been counted
+        ``times`` times."""
+        g, fresh = self.graph, lambda u: self.seen[u] < self.times
+        for k in places:
+            if fresh(self.tail[k]) or fresh(g.head[k]):
+                self.weight[k] = self.weight[k] * 11 // 10
+        upto = np.concatenate([[0], np.cumsum([self.weight[k] for k in places])])
+        share = [int(self.base // 100 * int(d) // max(1, int(upto[-1]))) for d in upto]
+        for i, k in enumerate(places):
+            u, v = self.tail[k], g.head[k]
+            rejoining = [x for x in self.into[v] if self.tail[x] != u] if fresh(v) else []
+            leaving = [x for x in range(g.first[u], g.first[u + 1]) if g.head[x] != v] if fresh(u) else []
+            for x in rejoining:
+                self.weight[x] += share[i + 1]
+            for x in leaving:
+                self.weight[x] += share[i]
+        nodes = {self.tail[places[0]], *(g.head[k] for k in places)} if places else set()
+        counted = [u for u in nodes if fresh(u)]
+        for u in counted:
+            self.seen[u] += 1
+        return bool(counted)
+
+
+def penalty_alternatives(graph: Graph, source: int, target: int, most: int = 10, stretch: float = 1.25, fresh: float = 0.05) -> list[list[int]]:
     """Edge ids of a shortest path and of alternatives by the penalty method.
 
-    The last path's edges are made dearer, those that leave or join the routes found so far a
-    little, and the search runs again. A path counts if over ``fresh`` of the best distance is
-    on new edges, and its true length is within ``stretch`` of the best; the search ends at
-    ``most`` routes, or when even penalized ways exceed the stretch by ``raise_by``.
+    After each route the weights around it grow and the search runs again. A stretch of new edges
+    counts if it is longer than ``fresh`` of the best distance and at most ``stretch`` times the way
+    between its ends on the routes so far; a route with such a stretch is an alternative. It ends
+    with ``most`` stretches, a route that is too long, or when all nodes have been counted enough.
     """
     first = shortest(graph, source, target, graph.weight)
     if first is None:
         return []
-    base, nodes, places = first
-    routes, used, known = [places], set(places), set(nodes)
-    weight, raised = [float(w) for w in graph.weight], [0] * len(graph.head)
-    last = places
-    for _ in range(tries):
-        for k in last:
-            if raised[k] < 5:
-                weight[k] *= raise_by
-                raised[k] += 1
-        around = {u for k in last for u in [graph.head[k]]}
-        for u in around:
-            for k in range(graph.first[u], graph.first[u + 1]):
-                if k not in used and int(graph.nodes[graph.head[k]]) not in known:
-                    weight[k] += base / 100
-        found = shortest(graph, source, target, weight)
-        if found is None or found[0] > base * stretch * raise_by:
+    base, _, places = first
+    routes, used = [places], set(places)
+    penalties, found = Penalties(graph, int(base)), 0
+    limit = int(base * stretch * 1.1) + 2 * (int(base) // 100)
+    while penalties.raise_around(places):
+        again = shortest(graph, source, target, penalties.weight)
+        if again is None or again[0] > limit:
+            break
+        places = again[2]
+        good = 0
+        for part in _new_stretches(places, used):
+            length = sum(graph.weight[k] for k in part)
+            if length <= fresh * base:
+                continue
+            between = _within(graph, used, penalties.tail[part[0]], graph.head[part[-1]])
+            if between is None or length <= stretch * between:
+                good += 1
+                used |= set(part)
+        if good:
+            routes.append(places)
+            found += good
+        if sum(graph.weight[k] for k in places) > stretch * base or found >= most:
             break
-        last = found[2]
-        true = sum(graph.weight[k] for k in last)
-        new = sum(graph.weight[k] for k in set(last) - used)
-        if true <= stretch * base and new > fresh * base:
-            routes.append(last)
-            used |= set(last)
-            known |= set(found[1])
-            if len(routes) >= most:
-                break
     return [[graph.edge[k] for k in r] for r in routes]
 
 
+def _new_stretches(places: list[int], used: set[int]) -> list[list[int]]:
+    out: list[list[int]] = [[]]
+    for k in places:
+        if k in used:
+            out.append([])
+        else:
+            out[-1].append(k)
+    return [x for x in out if x]
+
+
+def _within(graph: Graph, used: set[int], a: int, b: int) -> float | None:
+    """Distance between two places of nodes over used edges only."""
+    labels, _, _ = graph.search(int(graph.nodes[a]), int(graph.nodes[b]), lambda k, _: graph.weight[k] if k in used else None)
+    return labels.get(b)
+
+
 def alternative_quality(graph: Graph, routes: list[list[int]], source: int, target: int) -> dict[str, float]:
     """Total and average distance of the graph that routes make together, and its decision edges."""
     used = sorted({e for r in routes for e in r})
@@ -177,7 +232,8 @@ class TrafficAware:
         """The shortest live path without a violating sub-path: edge ids, and whether it is proven.
 
         Paths are searched best first over (node, state of a matcher of forbidden sub-paths);
-        each round forbids what violates, until nothing does or ``most`` rounds are over.
+        each round forbids what violates, until nothing does or ``most`` rounds are over; then the
+        last path is given as not proven.
         """
         forbidden: list[tuple[int, ...]] = []
         for _ in range(self.most):

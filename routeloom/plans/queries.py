@@ -1185,5 +1185,10 @@ def _(t):
 def _aware(graph, source, target):
     """The route on live weights (a hash of the edge slows some down) near the smooth optimum."""
     live = [float(w * (1 + e * 7919 % 5)) for w, e in zip(graph.weight, graph.edge, strict=True)]
-    found = routing.TrafficAware(graph, live, 0.5).fixed(source, target)
+    aware = routing.TrafficAware(graph, live, 0.5)
+    found = aware.fixed(source, target)
+    if found is not None and not found[1]:  # still violating: the exact search decides
+        found = aware.exact(source, target)
+    if found is not None and not found[1]:
+        raise RuntimeError(f"no route from {source} to {target} is proven after {aware.most} rounds")
     return [] if found is None else [found[0]]
