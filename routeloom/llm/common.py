@@ -68,6 +68,12 @@ def drop_written(spark: SparkSession, since: int) -> None:
     del _made[since:-1]
 
 
+def release(spark: SparkSession) -> None:
+    """Collects garbage on the driver, so that Spark's cleaner deletes shuffles and broadcasts that
+    nothing refers to any more; for jobs of many small rounds."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Numbers in a written table up to which it is broadcast.
 SMALL = 4_000_000
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import if_small, small_batches, table, text_key, written
+from routeloom.llm.common import if_small, release, small_batches, table, text_key, written
 from routeloom.llm.components import connected_components
 
 SEED = 42
@@ -289,6 +289,7 @@ def similar_links(once: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> Da
         found = written(pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(_verified, "src bigint, dst bigint"), "similar")
         edges = found if edges is None else edges.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        release(once.sparkSession)
         return True
 
     def untested(pairs: DataFrame) -> DataFrame:
@@ -325,6 +326,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     counts as empty; equal texts are always linked; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    release(docs.sparkSession)
     kind = "doc_id bigint, th bigint, " + ", ".join(f"{c} bigint" for c in LANES)
     rows = written(docs.select("doc_id", "text", text_key().alias("th")).mapInArrow(_wide_prints, kind), "prints")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("th"))).alias("lead")
@@ -340,6 +342,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     labels = connected_components(similar_links(once.select("th", *LANES), sets)).select(F.col("node").alias("th"), "label")
     grouped = written(once.select("th", "lead").join(labels, "th"), "grouped")
     leads = written(grouped.groupBy("label").agg(F.min("lead").alias("group_lead")), "leads")
+    release(docs.sparkSession)
     merged = grouped.join(leads, "label").select("th", "group_lead")
     owner = written(once.select("th", "lead").join(merged, "th", "left").select("th", F.coalesce("group_lead", "lead").alias("lead")), "owners")
     return rows.select("doc_id", "th").join(owner, "th").select("doc_id", "th", F.col("lead.doc_id").alias("rep_id"), F.col("lead.th").alias("rep_th"))

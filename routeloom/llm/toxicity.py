@@ -52,13 +52,21 @@ def _slot(feature: str) -> int:
 def markers(sample: list[tuple[str, int]]) -> set[str]:
     """Words and prefixes by which tokens are labelled: frequent in toxic documents, next to
     absent from others. A suffix is no marker, as it says too little by itself."""
-    n, df = Counter(), (Counter(), Counter())
-    for text, y in sample:
-        n[y] += 1
-        df[y].update({f for w in set(WORD.findall(text)) for f in features(w) if f[0] != "s"})
+    n = Counter(y for _, y in sample)
     if not n[0] or not n[1]:
         return set()
-    return {f for f, k in df[1].items() if k >= max(MIN_DOCS, MIN_SHARE * n[1]) and df[0][f] / n[0] <= MAX_SHARE * k / n[1]}
+    having = lambda text: {f for w in set(WORD.findall(text)) for f in features(w) if f[0] != "s"}
+    df: Counter[str] = Counter()
+    for text, y in sample:
+        if y:
+            df.update(having(text))
+    often = {f: k for f, k in df.items() if k >= max(MIN_DOCS, MIN_SHARE * n[1])}
+    del df  # most words are rare, and only the frequent ones are counted in the other class
+    others: Counter[str] = Counter()
+    for text, y in sample:
+        if not y:
+            others.update(often.keys() & having(text))
+    return {f for f, k in often.items() if others[f] / n[0] <= MAX_SHARE * k / n[1]}
 
 
 @dataclass
@@ -161,10 +169,11 @@ def fit(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, deca
                 sequences.append((words[a:b], tags[a:b]))
                 at = b
             at += 1
-    clean = [w for w in (WORD.findall(text) for text, y in sample if not y) if w]
-    each = max(2, round(len(sequences) / max(1, len(clean))))
-    for words in clean:
-        for at in sorted({int((k + 0.5) * len(words) / each) for k in range(each)}):
+    clean = sum(not y and bool(WORD.search(text)) for text, y in sample)
+    each = max(2, round(len(sequences) / max(1, clean)))
+    for text in (text for text, y in sample if not y):
+        words = WORD.findall(text)
+        for at in sorted({int((k + 0.5) * len(words) / each) for k in range(each)}) if words else ():
             part = words[max(0, at - CONTEXT) : at + CONTEXT + 1]
             sequences.append((part, [0] * len(part)))
     if not sequences:
@@ -176,7 +185,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, deca
     last[ends - 1] = True
     first[np.concatenate([[0], ends[:-1]])] = True
     slots: dict[str, list[int]] = {}
-    rows, cols, kinds = [], [], []
+    rows, cols, kinds = array("i"), array("i"), array("b")  # small beside lists of numbers
     t = 0
     for words, _ in sequences:
         own = [slots.setdefault(w, [_slot(f) for f in features(w)]) for w in words]
@@ -188,8 +197,13 @@ def fit(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.3, deca
             if k + 1 < len(words):
                 rows.append(t), cols.append(own[k + 1][0]), kinds.append(2)
             t += 1
-    rows_, flat = np.array(rows), np.array(cols) + size * np.array(kinds)
-    used, flat = np.unique(flat, return_inverse=True)
+    rows_ = np.frombuffer(rows, np.int32)
+    flat = np.frombuffer(cols, np.int32) + size * np.frombuffer(kinds, np.int8).astype(np.int32)
+    del cols, kinds, slots, known
+    used = np.flatnonzero(np.bincount(flat, minlength=3 * size))
+    place = np.zeros(3 * size, np.int32)
+    place[used] = np.arange(len(used))
+    flat = place[flat]
     w, trans, bias = np.zeros(len(used)), np.zeros((2, 2)), 0.0
     inner = np.flatnonzero(~first)  # places with one before
     seen_pairs = np.zeros((2, 2))
