@@ -35,6 +35,8 @@ WIDE_SEGMENTS, WIDE_WORDS, KEYS, EXACT = 24, 2, 16, 16
 #: Candidates further apart than this are no match: of pairs at a similarity of 0.8 or more,
 #: about 1 in 500 is.
 WIDE_BITS = 76
+#: Bits of the parities of a shingle set, as longs; as many bits differ as shingles do, or fewer.
+PARITY_LONGS = 16
 #: Rounds in which texts are compared with one text of a bucket, before all that are left are.
 STAR_ROUNDS = 3
 
@@ -231,10 +233,25 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(th[at + rows[order]])], names=["key", "th"])
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_LONGS classes of hashes, whether the set has an odd number of them.
+
+    Every shingle in one of two sets only flips one bit, so two sets differ in at least as many
+    shingles as their parities differ in bits."""
+    odd = np.bincount(shingles % (64 * PARITY_LONGS), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+PARITIES = [f"p{k}" for k in range(PARITY_LONGS)]
+SETS = "th bigint, shingles binary, size bigint, " + ", ".join(f"{c} bigint" for c in PARITIES)
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [(np.unique(shingle_set(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(sets, pa.binary())], names=["th", "shingles"])
+        sets = [np.unique(shingle_set(t) >> np.uint64(32)).astype(np.uint32) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, PARITY_LONGS)
+        columns = [b.column("th"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, odd.T)], names=["th", "shingles", "size", *PARITIES])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,26 +265,41 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["src", "dst"])
 
 
-def _apart(x: str, y: str) -> Column:
-    """Differing bits of two wide fingerprints."""
-    return reduce(lambda a, b: a + b, [F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in LANES])
+def _apart(x: str, y: str, columns: list[str] = LANES) -> Column:
+    """Differing bits of two wide fingerprints, or of other columns."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in columns])
+
+
+def _candidates(x: str, y: str) -> Column:
+    """False for texts whose fingerprints are too far apart, or whose parities alone show that
+    their shingle sets are less similar than STAGE_SIMILARITY."""
+    # At this similarity sets differ in at most so many of their shingles; a little more covers rounding.
+    most = (1 - STAGE_SIMILARITY) * (F.col(x + "size") + F.col(y + "size")) + 1e-3
+    return (_apart(x, y) <= WIDE_BITS) & ((1 + STAGE_SIMILARITY) * _apart(x, y, PARITIES) <= most)
 
 
 def similar_links(once: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges ``src``, ``dst`` that connect all texts of a similarity of STAGE_SIMILARITY that share
-    a key; ``once`` has th and the wide fingerprint of each distinct text.
+    a key; ``once`` has th and the wide fingerprint of each distinct text, ``sets`` gives the
+    columns SETS of texts by th.
 
     A bucket of many near copies isn't squared: in each of a few rounds its texts are compared
     with one of them, and of all such pairs each text has the nearest verified on whole
-    shingle sets. Then, in buckets that still hold texts of different components, all pairs across
-    components are compared, and those near enough verified, none left out. Every round
-    leaves fewer such buckets, as it merges what is similar.
+    shingle sets. Then, in buckets that still hold texts of different components, texts are compared
+    across components, and those near enough verified, none left out. Every round
+    leaves fewer such buckets, as it merges what is similar. What a pair is compared by lies in the
+    rows of its bucket, so that only those become a row whose sets may be similar (``_candidates``):
+    a crowd around one text that isn't similar among itself makes none.
     """
     keys = written(once.mapInArrow(_wide_keys, "key bigint, th bigint"), "keys")
     many = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
-    shared = written(keys.join(many, "key"), "buckets")
-    side = lambda x: once.select(F.col("th").alias(x), *[F.col(c).alias(x + c) for c in LANES])
-    edges = tested = have = None
+    met = written(keys.join(many, "key"), "met")
+    have = written(sets(written(met.select("th").distinct(), "asked")), "shingles")
+    looks = [*LANES, "size", *PARITIES]
+    sides = written(have.drop("shingles").join(once.select("th", *LANES), "th"), "sides")
+    shared = written(met.join(sides, "th").select("key", "th", *looks), "buckets")
+    side = lambda df, x: df.select("key", *[F.col(c).alias(x + c) for c in ("th", "label", *looks)])
+    edges = tested = None
 
     def labelled() -> DataFrame:
         if edges is None:
@@ -277,14 +309,10 @@ def similar_links(once: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> Da
 
     def verified(pairs: DataFrame) -> bool:
         """Adds the pairs that are similar to the edges; false if there was none to look at."""
-        nonlocal edges, tested, have
+        nonlocal edges, tested
         pairs = written(pairs.select("a", "b"), "pairs")
         if edges is not None and pairs.isEmpty():
             return False
-        asked = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-        asked = written(asked if have is None else asked.join(have, "th", "left_anti"), "asked")
-        more = written(sets(asked), "shingles")
-        have = more if have is None else have.unionByName(more)
         one = lambda x: have.select(F.col("th").alias(x), F.col("shingles").alias(x + "_set"))
         found = written(pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(_verified, "src bigint, dst bigint"), "similar")
         edges = found if edges is None else edges.unionByName(found)
@@ -300,20 +328,17 @@ def similar_links(once: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> Da
 
     for r in range(STAR_ROUNDS):
         buckets = written(labelled(), "labelled")
-        hub = F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("o"), "th", "label")).alias("hub")
-        mixed = written(buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo < hi").select("key", "hub"), "hubs")
-        met = buckets.join(mixed, "key").where("label <> hub.label").select(F.col("th").alias("a"), F.col("hub.th").alias("b")).distinct()
-        near = untested(met).join(side("a"), "a").join(side("b"), "b").withColumn("d", _apart("a", "b")).where(F.col("d") <= WIDE_BITS)
-        best = near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-        if not verified(best):
+        hub = F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("o"), "th", "label", *looks)).alias("hub")
+        hubs = written(buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo < hi").select("key", "hub.*"), "hubs")
+        near = side(buckets, "a").join(side(hubs, "b"), "key").where((F.col("alabel") != F.col("blabel")) & _candidates("a", "b"))
+        near = untested(near.select(F.col("ath").alias("a"), F.col("bth").alias("b"), _apart("a", "b").alias("d")).distinct())
+        if not verified(near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))):
             break
     buckets = written(labelled(), "labelled")
     mixed = written(buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
-    # All that is left, with fingerprints at hand, so that a pair too far apart isn't even a row.
-    left = written(buckets.join(mixed, "key").join(once, "th"), "left")
-    a, b = (left.select(F.col("key").alias(x + "key"), F.col("th").alias(x), F.col("label").alias(x + "label"), *[F.col(c).alias(x + c) for c in LANES]) for x in "ab")
-    rest = a.join(b, (F.col("akey") == F.col("bkey")) & (F.col("alabel") < F.col("blabel")) & (_apart("a", "b") <= WIDE_BITS))
-    verified(untested(rest.select("a", "b").distinct()))
+    left = written(buckets.join(mixed, "key", "left_semi"), "left")
+    rest = side(left, "a").join(side(left, "b"), "key").where((F.col("alabel") < F.col("blabel")) & _candidates("a", "b"))
+    verified(untested(rest.select(F.col("ath").alias("a"), F.col("bth").alias("b")).distinct()))
     return edges
 
 
@@ -337,7 +362,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
         asked = written(once.join(wanted, "th").select("th", F.col("lead.doc_id").alias("lead_id")), "asked-ids")
         here = docs.select("doc_id", "text", text_key().alias("dh"))
         texts = here.join(if_small(asked), (F.col("dh") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("lead_id")))
-        return texts.select("th", "text").mapInArrow(_shingle_sets, "th bigint, shingles binary").dropDuplicates(["th"])
+        return texts.select("th", "text").mapInArrow(_shingle_sets, SETS).dropDuplicates(["th"])
 
     labels = connected_components(similar_links(once.select("th", *LANES), sets)).select(F.col("node").alias("th"), "label")
     grouped = written(once.select("th", "lead").join(labels, "th"), "grouped")

@@ -130,6 +130,39 @@ def test_stage_links_similar_texts(spark):
     assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, "").collect()) == sorted(set(want.values()))
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 300, 5000):
+        base = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+        for share in (0, 0.05, 0.2, 1):
+            other = np.where(rng.random(size) < share, rng.integers(0, 1 << 32, size, dtype=np.uint32), base)
+            apart = int(np.bitwise_count((simhash.parities(np.unique(base)) ^ simhash.parities(np.unique(other))).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(base, other)) and (share or not apart)
+
+
+def test_stage_makes_few_pairs_of_a_crowd(spark, monkeypatch):
+    """Near copies of one text, most of them not similar among themselves, aren't paired with each other."""
+    rng = np.random.default_rng(4)
+    star, texts = [f"w{k}" for k in rng.choice(5000, 160)], {}
+    for i in range(200):
+        words = list(star)
+        for k in rng.choice(len(words), 2 + i % 5, replace=False):
+            words[k] = f"x{rng.integers(100_000)}"
+        texts[i] = " ".join(words)
+    want, made, written = brute_similar(texts), [], simhash.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.rep_id for r in simhash.similar_texts(docs).collect()} == want
+    assert len(set(want.values())) > 20 and sum(made) < 10 * len(texts)
+
+
 def test_stage_names_and_repeats(spark):
     rows = [(1, "one two three four five six", 3, None), (1, "one two three four five six", 2, "z"), (2, "ONE two  three four five six", 1, "a"), (None, None, 0, ""), (None, "", 5, "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int, kept string").withColumn("row", F.lit("r")).withColumn("th", F.lit(0)).withColumn("h", F.lit(1)).withColumn("id", F.lit(2)).withColumn("label", F.lit(4))
