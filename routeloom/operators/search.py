@@ -1,7 +1,8 @@
 """Shortest paths: iterated DataFrames, label joins, and kernels over a bounded graph.
 
-Three forms give the same answers. ``relax`` iterates a join and a ``min`` and never holds
-the graph in one place. ``dijkstra`` sends queries to tasks that each hold a compact graph;
+Four forms give the same answers. ``relax`` iterates a join and a ``min`` and never holds
+the graph in one place; its rounds are the edges of the longest path. ``distances`` holds a block
+of the graph in a task; its rounds are the blocks on a path. ``dijkstra`` sends queries to tasks that each hold a compact graph;
 it asks for a graph of a checked size. ``label_distances`` joins precomputed labels.
 """
 
@@ -12,6 +13,7 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from routeloom.operators.tables import written
 #: its nodes, and ten times that for points of functions); a larger one is searched by ``relax``.
 MAX_BROADCAST_EDGES = 20_000_000
 MAX_BROADCAST_POINTS = 4_000_000
+#: Edges of a block of ``distances`` and sources that a task searches it from: some 100 MB.
+BLOCK_EDGES = 250_000
+BLOCK_SOURCES = 32
 
 
 def relax(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, weight: str = "weight") -> DataFrame:
@@ -45,6 +50,106 @@ def relax(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, weight
     raise RuntimeError(f"distances still change after {max_rounds} rounds")
 
 
+def blocks_of(edges: DataFrame, size: int) -> tuple[Callable[[str], Column], int]:
+    """Ranges of node ids with about ``size`` edges each: a column's block, and their number.
+
+    Any ranges do; neighbours with near ids make fewer edges between blocks."""
+    n = -(-edges.count() // size)
+    cuts = np.unique(edges.approxQuantile("tail", [k / n for k in range(1, n)], 0.2 / n)) if n > 1 else np.array([])
+    if not len(cuts):
+        return lambda c: F.lit(0), 1
+    find = F.pandas_udf(lambda x: pd.Series(np.searchsorted(cuts, x.to_numpy(), side="left").astype(np.int32)), "int")
+    return lambda c: find(F.col(c).cast("bigint")), len(cuts) + 1
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, size: int = BLOCK_EDGES) -> DataFrame:
+    """As ``relax`` for whole-number ids, but each block of the graph is searched by one task at a time.
+
+    Entries are the labels of sources and of nodes that edges from other blocks lead to. A round
+    searches the blocks with new entries, from those sources that they are of, and gives entries of
+    other blocks; the tables of the rounds hold nothing else. When no entry changes, one pass over
+    all blocks gives the distances. Raises if entries still change after ``max_rounds``.
+    """
+    e = edges.where(F.col("weight").isNotNull()).groupBy("tail", "head").agg(F.min("weight").cast("bigint").alias("w"))
+    kind = {f.name: f.dataType for f in edges.schema}["head"]
+    e = written(e.select(F.col("tail").cast("bigint").alias("tail"), F.col("head").cast("bigint").alias("head"), "w"), "edges")
+    block, _ = blocks_of(e, size)
+    e = written(e.select(block("tail").alias("block"), "tail", "head", "w", block("head").alias("into")), "blocks")
+    n = sources.select("source").distinct()
+    parts = min(max(n.count(), 1), 1 << 30)
+    parts = max(min(parts, 64), -(-parts // BLOCK_SOURCES))
+    part = F.pmod(F.xxhash64("source"), F.lit(parts)).cast("int")
+    entries = n.select(F.col("source").cast("bigint").alias("source")).select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("dist"))
+    entries = written(entries.select(block("node").alias("block"), part.alias("part"), "source", "node", "dist"), "entries")
+    changed, key = entries, ["block", "part"]
+    for _ in range(max_rounds):
+        active = changed.select(*key, "source").distinct()
+        asked = entries.join(active, [*key, "source"], "left_semi")
+        found = _searched(asked, e.join(changed.select(*key).distinct(), "block"), True)
+        found = found.groupBy("block", "source", "node").agg(F.min("dist").alias("new")).select("block", part.alias("part"), "source", "node", "new")
+        on = [*key, "source", "node"]
+        both = entries.join(found, on, "full").select(*on, F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("changed"))
+        both = written(both, "entries")
+        entries, changed = both.drop("changed"), both.where("changed").drop("changed")
+        if changed.limit(1).count() == 0:
+            whole = _searched(entries, e.join(entries.select(*key).distinct(), "block"), False)
+            return written(whole.select(F.col("source").cast(sources.schema["source"].dataType).alias("source"), F.col("node").cast(kind).alias("node"), "dist"), "dist")
+    raise RuntimeError(f"distances still change after {max_rounds} rounds")
+
+
+def _searched(entries: DataFrame, edges: DataFrame, out: bool) -> DataFrame:
+    """Labels (block, source, node, dist) inside of blocks, or of nodes that edges lead out to."""
+
+    def run(key, e: pa.Table, a: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        tail, head, w, into = (e.column(c).to_numpy() for c in ("tail", "head", "w", "into"))
+        source, node, dist = (a.column(c).to_numpy() for c in ("source", "node", "dist"))
+        inner = into == block
+        nodes = np.unique(np.concatenate([tail, head[inner], node]))
+        t, h = np.searchsorted(nodes, tail[inner]), np.searchsorted(nodes, head[inner])
+        order = np.argsort(t, kind="stable")
+        first = np.searchsorted(t[order], np.arange(len(nodes) + 1)).tolist()
+        h, cost = h[order].tolist(), w[inner][order].tolist()
+        leave, far, over = np.searchsorted(nodes, tail[~inner]), head[~inner], w[~inner]
+        start = np.searchsorted(nodes, node)
+        parts: list[list] = [[], [], [], []]
+        for s in np.unique(source).tolist():
+            mine = source == s
+            label = _settled(first, h, cost, list(zip(dist[mine].tolist(), start[mine].tolist(), strict=True)), len(nodes))
+            if out:
+                ends = label[leave] >= 0
+                row = (into[~inner][ends], far[ends], label[leave][ends] + over[ends])
+            else:
+                ends = label >= 0
+                row = (np.full(int(ends.sum()), block), nodes[ends], label[ends])
+            for p, x in zip(parts, (row[0], np.full(len(row[0]), s), *row[1:]), strict=True):
+                p.append(x)
+        b, s, v, d = (np.concatenate(p) if p else np.array([], np.int64) for p in parts)
+        return pa.table([pa.array(b.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (s, v, d))], names=["block", "source", "node", "dist"])
+
+    anew = edges.select(*[F.col(c).alias(c) for c in edges.columns])  # else its keys are the entries'
+    both = anew.groupBy("block", "part").cogroup(entries.groupBy("block", "part"))
+    return both.applyInArrow(run, "block int, source bigint, node bigint, dist bigint")
+
+
+def _settled(first: list[int], head: list[int], cost: list[int], queue: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Labels of ``n`` nodes by a search from the labelled ones in ``queue``; -1 where none leads."""
+    heapq.heapify(queue)
+    best = [-1] * n
+    for d, u in sorted(queue, reverse=True):
+        best[u] = d
+    while queue:
+        d, u = heapq.heappop(queue)
+        if d > best[u]:
+            continue
+        for k in range(first[u], first[u + 1]):
+            v, new = head[k], d + cost[k]
+            if best[v] < 0 or new < best[v]:
+                best[v] = new
+                heapq.heappush(queue, (new, v))
+    return np.array(best, np.int64)
+
+
 def parents(edges: DataFrame, dist: DataFrame, weight: str = "weight") -> DataFrame:
     """source, node, parent: the last node before each on a shortest path, the smallest of equals."""
     a, b = dist.alias("a"), dist.alias("b")

@@ -48,7 +48,7 @@ def _(t):
 
 @query("G28_city_distances", f"{_CITY} SELECT s AS source, v AS node, d AS dist FROM d")
 def _(t):
-    return search.relax(t.streets, t.sql(_HOUSES).withColumnRenamed("node", "source"))
+    return search.distances(t.streets, t.sql(_HOUSES).withColumnRenamed("node", "source"))
 
 
 @query("G14_pruned_hierarchy", f"{_ALL} {_DIST}")
