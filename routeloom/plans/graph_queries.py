@@ -33,9 +33,8 @@ _CITY = f"""WITH RECURSIVE h AS ({_HOUSES}), d(s, v, d) USING KEY (s, v) AS (
 @query("G12_contraction", f"{_CITY} SELECT s AS source, v AS target, d AS dist FROM d")
 def _(t):
     arcs, core = contraction.contract(t.streets, 100)
-    everywhere = t.customer.select(F.col("c_custkey").alias("node"))
-    out, into = contraction.labels(t.sql(_HOUSES), arcs, core, True), contraction.labels(everywhere, arcs, core, False)
-    return search.many_to_many(t.sql(_HOUSES).withColumnRenamed("node", "source"), everywhere.withColumnRenamed("node", "target"), out, into)
+    found = contraction.sweep(arcs, contraction.labels(t.sql(_HOUSES), arcs, core, True))
+    return found.withColumnRenamed("node", "target")
 
 
 @query("G17_nearest_houses", f"{_CITY} SELECT s AS source, v AS node, d AS dist, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS k FROM d WHERE v IN (SELECT node FROM h)) x WHERE k <= 4")

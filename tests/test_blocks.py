@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tests_support import distances, random_graph
 
-from routeloom.operators import search
+from routeloom.operators import contraction, search
 
 
 def strip(rows, wide=3, seed=5):
@@ -45,3 +45,14 @@ def test_rounds_are_blocks_and_unfinished_ones_raise(spark):
     with pytest.raises(RuntimeError, match="rounds"):
         search.distances(e, one, max_rounds=3, size=10)
 
+
+@pytest.mark.parametrize("kind", GRAPHS)
+@pytest.mark.parametrize("size", [60, 1000])
+def test_contraction_by_blocks(spark, kind, size):
+    g = GRAPHS[kind]()
+    arcs, core = contraction.contract(edges_of(spark, g), 5, size)
+    sources = [int(g.nodes[0]), int(g.nodes[7])]
+    out = contraction.labels(spark.createDataFrame([(s,) for s in sources], "node bigint"), arcs, core, True)
+    assert {(r.source, r.node): r.dist for r in contraction.sweep(arcs, out).collect()} == want(g, sources)
+    rounds = arcs.agg({"round": "max"}).first()[0]
+    assert rounds == 0 if size == 1000 else rounds > 0
