@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.operators.search import Graph
+from routeloom.operators.search import Graph, spread
 
 INF = float("inf")
 
@@ -187,7 +187,7 @@ def tree_distances(queries: DataFrame, metric: Metric) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), values], names=[*b.schema.names, "dist"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    return queries.mapInArrow(run, f"{schema}, dist bigint")
+    return spread(queries).mapInArrow(run, f"{schema}, dist bigint")
 
 
 def ancestor_labels(nodes: DataFrame, metric: Metric, forward: bool) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -232,13 +233,21 @@ def eval_points(points: tuple[list[int], list[int]], t: int, period: int) -> int
     if len(at) <= 2:
         return val[0]
     x = t % period
-    k = int(np.searchsorted(at, x, side="right")) - 1
+    k = bisect_right(at, x) - 1
     if at[k] == x or k + 1 == len(at):
         return val[k]
     rise = at[k + 1] + val[k + 1] - at[k] - val[k]
     return at[k] + val[k] + (x - at[k]) * rise // (at[k + 1] - at[k]) - x
 
 
+def spread(queries: DataFrame) -> DataFrame:
+    """``queries`` in enough partitions for all cores: a small file's rows are long work for one task.
+    Queries of one target are neighbours, as they share what is found for it."""
+    n = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), queries.sparkSession.sparkContext.defaultParallelism)
+    apart = queries.repartition(n, *queries.columns)
+    return apart.sortWithinPartitions("target") if "target" in queries.columns else apart
+
+
 RESULT = "dist bigint, node_path array<bigint>, edge_path array<bigint>"
 
 
@@ -285,7 +294,7 @@ def _run(queries: DataFrame, graph: Graph, cost_of: Callable, columns: list[str]
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(graph)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    return queries.mapInArrow(_route(shared, cost_of, columns), f"{schema}, {RESULT}")
+    return spread(queries).mapInArrow(_route(shared, cost_of, columns), f"{schema}, {RESULT}")
 
 
 def hub_labels(dist_from: DataFrame, dist_to: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
