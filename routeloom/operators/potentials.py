@@ -8,13 +8,14 @@ ones, and for graphs with turns. All answers are those of the plain search.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from routeloom.operators.hierarchy import INF, Metric
-from routeloom.operators.search import Graph, eval_points
+from routeloom.operators.search import Graph, eval_points, spread
 
 
 class Potential:
@@ -90,7 +91,7 @@ def answered(queries: DataFrame, shared: object, answer: Callable[[object], Call
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), dist, pa.array([n for _, n in found], pa.int64())], names=[*b.schema.names, "dist", "settled"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    return queries.mapInArrow(run, f"{schema}, dist {kind}, settled bigint")
+    return spread(queries).mapInArrow(run, f"{schema}, dist {kind}, settled bigint")
 
 
 def with_potentials(queries: DataFrame, graph: Graph, metric: Metric, period: int = 86_400_000) -> DataFrame:
@@ -146,21 +147,39 @@ def nearest_of_many(nodes: DataFrame, metric: Metric, targets: list[int]) -> Dat
 
 def td_with_ranks(queries: DataFrame, graph: Graph, period: float) -> DataFrame:
     """Time-dependent queries in seconds (departure): dist, and as ``settled`` the target's place in
-    the order in which the search settles nodes."""
-    from routeloom.functions import kernels
+    the order in which the search settles nodes.
 
-    def answer(g):
-        import numpy as np
-
-        points = [None if p is None else (np.asarray(p[0], float), np.asarray(p[1], float)) for p in g.points]
+    Arrivals are t + v + (x - a) * (u - v) / (b - a), added in this order: near ties between nodes are
+    decided by the last bits, and SQL of the same formula has the same ones."""
 
-        def cost(k: int, t: float) -> float | None:
-            return None if points[k] is None else float(kernels.value(points[k], np.array([t]), period)[0])
+    def arrival(points: tuple[list[float], list[float]], t: float) -> float:
+        at, val = points
+        x = t % period
+        k = bisect_right(at, x) - 1
+        if k < 0 or k + 1 == len(at):
+            return t + val[max(k, 0)]
+        return t + val[k] + (x - at[k]) * (val[k + 1] - val[k]) / (at[k + 1] - at[k])
 
+    def answer(g):
         def ask(source: int, target: int, departure: float) -> tuple[float | None, int]:
-            labels, _, order = g.search(source, target, cost, departure)
-            end = g.number.get(target, -1)
-            return (labels[end] - departure, len(order)) if end in labels else (None, 0)
+            s, end = g.number.get(source), g.number.get(target, -1)
+            if s is None:
+                return None, 0
+            best, done, queue = {s: departure}, set(), [(departure, s)]
+            while queue:
+                t, u = heapq.heappop(queue)
+                if u in done:
+                    continue
+                done.add(u)
+                if u == end:
+                    return t - departure, len(done)
+                for k in range(g.first[u], g.first[u + 1]):
+                    if g.points[k] is not None:
+                        v, new = g.head[k], arrival(g.points[k], t)
+                        if new < best.get(v, INF):
+                            best[v] = new
+                            heapq.heappush(queue, (new, v))
+            return None, 0
 
         return ask
 
