@@ -248,6 +248,26 @@ def spread(queries: DataFrame) -> DataFrame:
     return apart.sortWithinPartitions("target") if "target" in queries.columns else apart
 
 
+def path_times(paths: DataFrame, functions: DataFrame, period: int = 86_400_000) -> DataFrame:
+    """``paths`` (q, path of edges, departure) as q, tt and arrival, in tasks that hold ``functions``
+    (edge_id, f), of which the caller has checked that they are few."""
+    rows = functions.select("edge_id", "f.at", "f.val").collect()
+    shared = paths.sparkSession.sparkContext.broadcast({r[0]: (list(r[1]), list(r[2])) for r in rows})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for b in batches:
+            start, out = b.column("departure").to_pylist(), []
+            for path, t in zip(b.column("path").to_pylist(), start, strict=True):
+                for e in path:
+                    t += eval_points(of[e], t, period)
+                out.append(t)
+            arrival, departure = np.array(out, np.int64), np.array(start, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("q"), pa.array(arrival - departure), pa.array(arrival)], names=["q", "tt", "arrival"])
+
+    return paths.select(F.col("q").cast("bigint").alias("q"), "path", F.col("departure").cast("bigint").alias("departure")).mapInArrow(run, "q bigint, tt bigint, arrival bigint")
+
+
 RESULT = "dist bigint, node_path array<bigint>, edge_path array<bigint>"
 
 

@@ -571,7 +571,13 @@ _PATH = """WITH RECURSIVE seg AS (SELECT edge_id, at_ms AS a, val AS v, lead(at_
 
 @query("F10_N9_path_times", _PATH + " SELECT q, CAST(max(t) - min(t) AS BIGINT) AS tt, CAST(max(t) AS BIGINT) AS arrival FROM r GROUP BY q")
 def _(t):
-    hops = t.lines.select(F.col("l_orderkey").alias("q"), "pos", (F.col("l_suppkey") % 50).cast("int").alias("edge_id")).join(_small_functions(t), "edge_id")
+    hops = t.lines.select(F.col("l_orderkey").alias("q"), "pos", (F.col("l_suppkey") % 50).cast("int").alias("edge_id"))
+    functions = _functions(t)
+    if functions.count() <= FUNCTIONS:  # only edges' numbers are gathered by path; the functions are sent to the tasks
+        known = hops.join(F.broadcast(functions.select("edge_id")), "edge_id", "left_semi")
+        paths = known.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "edge_id"))), lambda x: x["edge_id"]).alias("path"))
+        return search.path_times(paths.withColumn("departure", F.pmod(F.col("q") * 7919, F.lit(86_400_000))), functions).select("q", "tt", "arrival")
+    hops = hops.join(functions, "edge_id")
     paths = hops.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]).alias("fs"))
     depart = F.pmod(F.col("q") * 7919, F.lit(86_400_000))
     return paths.select("q", ttf.along(F.col("fs"), depart).alias("tt"), F.element_at(ttf.timed_path(F.col("fs"), depart), -1).alias("arrival"))
