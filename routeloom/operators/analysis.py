@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions import ttf
+from routeloom.operators import network
 
 
 def ordered_lookup(items: DataFrame, names: DataFrame, key: str, pos: str, name: str, value: str) -> DataFrame:
@@ -29,14 +32,46 @@ def delay_stats(functions: DataFrame) -> DataFrame:
     return stats.drop("n").crossJoin(F.broadcast(middle))
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each group, interpolated; a column for each name in ``shares``.
+
+    Distinct values are counted and numbered by ranges, so that no task holds those of a group.
+    """
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    counts = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = network.running_sum(counts.withColumn("_o", F.struct(*names, "_v")), "_o", "_c", "_before")
+    whole = upto.groupBy(*names).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_all")).toDF(*[f"_g{i}" for i in range(len(by))], "_first", "_all")
+    same = reduce(lambda a, b: a & b, [F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(by))], F.lit(True))
+    each = upto.join(whole, same) if by else upto.crossJoin(F.broadcast(whole))
+    start = F.col("_before") - F.col("_first")
+    holds = lambda place: (place >= start) & (place < start + F.col("_c"))
+    found, out = [], []
+    for k, (name, p) in enumerate(shares.items()):
+        place = (F.col("_all") - 1) * F.lit(float(p))
+        low, high = F.floor(place), F.ceil(place)
+        found += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l{k}"), F.max(F.when(holds(high), F.col("_v"))).alias(f"_h{k}"), F.max(place).alias(f"_p{k}")]
+        at = F.col(f"_p{k}")
+        between = (F.ceil(at) - at) * F.col(f"_l{k}") + (at - F.floor(at)) * F.col(f"_h{k}")
+        out.append(F.when(F.floor(at) == F.ceil(at), F.col(f"_l{k}")).when(F.col(f"_l{k}") == F.col(f"_h{k}"), F.col(f"_l{k}")).otherwise(between).alias(name))
+    return each.groupBy(*names).agg(*found).select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], *out)
+
+
+def _beside(groups: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """``groups`` with what was found for each; null where nothing was."""
+    f = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    return groups.join(f, same, "left").drop(*[f"_{c}" for c in by])
+
+
 def iteration_stats(runs: DataFrame, by: list[str]) -> DataFrame:
-    return runs.groupBy(*by).agg(
+    groups = runs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("value"), 4).alias("mean"),
-        F.round(F.percentile("value", F.lit(0.5)), 4).alias("median"),
         F.round(F.min("value"), 4).alias("lo"),
         F.round(F.stddev_pop("value"), 3).alias("std"),
     )
+    return _beside(groups, percentiles(runs, by, "value", {"median": 0.5}), by).select(*by, "n", "mean", F.round("median", 4).alias("median"), "lo", "std")
 
 
 def pairwise(values: DataFrame, group: str, on: str, value: str) -> DataFrame:
@@ -44,13 +79,14 @@ def pairwise(values: DataFrame, group: str, on: str, value: str) -> DataFrame:
     a, b = values.alias("a"), values.alias("b")
     d = a.join(b, (F.col(f"a.{on}") == F.col(f"b.{on}")) & (F.col(f"a.{group}") < F.col(f"b.{group}")))
     d = d.select(F.col(f"a.{group}").alias("a"), F.col(f"b.{group}").alias("b"), (F.col(f"a.{value}") - F.col(f"b.{value}")).alias("d"))
-    return d.groupBy("a", "b").agg(
+    groups = d.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("d"), 3).alias("mean_diff"),
-        F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_diff"),
         F.round(F.avg(F.abs("d")), 3).alias("mad"),
         F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 3).alias("rmse"),
     )
+    found = _beside(groups, percentiles(d, ["a", "b"], "d", {"median": 0.5}), ["a", "b"])
+    return found.select("a", "b", "n", "mean_diff", F.round("median", 3).alias("median_diff"), "mad", "rmse")
 
 
 def best_runs(runs: DataFrame, by: list[str], run: str, value: str) -> DataFrame:
@@ -59,17 +95,15 @@ def best_runs(runs: DataFrame, by: list[str], run: str, value: str) -> DataFrame
 
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 4)
-    return rows.agg(
+    whole = rows.agg(
         F.count(value).alias("n"),
         F.round(F.avg(value), 4).alias("mean"),
         F.round(F.stddev_samp(value), 3).alias("std"),
         F.min(value).alias("lo"),
-        q(0.25).alias("q25"),
-        q(0.5).alias("q50"),
-        q(0.75).alias("q75"),
         F.max(value).alias("hi"),
     )
+    quarters = percentiles(rows, [], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return whole.crossJoin(F.broadcast(quarters)).select("n", "mean", "std", "lo", *[F.round(c, 4).alias(c) for c in ("q25", "q50", "q75")], "hi")
 
 
 def r_squared(rows: DataFrame, key: str, seen: str, fitted: str) -> DataFrame:
