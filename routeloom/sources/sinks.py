@@ -33,8 +33,10 @@ def write_alternatives(alternatives: DataFrame, path: str) -> None:
 
 
 def write_batches(chosen: DataFrame, path: str) -> None:
-    """Vehicles (batch, id, depart, edges) as one folder of routes for each batch of a simulation."""
-    ordered = chosen.repartition("batch").sortWithinPartitions("batch", (F.col("depart") * 1000).cast("bigint"), "id")
+    """Vehicles (batch, id, depart, edges) as one folder of routes for each batch of a simulation.
+
+    A large batch's vehicles are cut into files by departure, whose names are in this order."""
+    ordered = chosen.orderBy("batch", (F.col("depart") * 1000).cast("bigint"), "id")
     rows = ordered.select("batch", F.col("id").alias("_id"), F.col("depart").alias("_depart"), F.struct(F.array_join("edges", " ").alias("_edges")).alias("route"))
     rows.write.format("xml").options(rootTag="routes", rowTag="vehicle", attributePrefix="_", declaration="").partitionBy("batch").mode("overwrite").save(path)
 
