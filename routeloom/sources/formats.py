@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routeloom.operators import network
+
 _PARAM = "array<struct<_key:string,_value:string>>"
 _ROUTE = "struct<_edges:string,_cost:double,_probability:double>"
 
@@ -135,9 +137,19 @@ def lat_lon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their number from 0, for files whose order counts; one file is read whole."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
+    """Lines with their number from 0 in their file, for files whose order counts.
+
+    A file's splits are read by different tasks and numbered by themselves; only one count for each
+    meets in a window.
+    """
+    place = {"_f": F.col("_metadata.file_path"), "_b": F.col("_metadata.file_block_start"), "_i": F.monotonically_increasing_id()}
+    raw = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", r"\r$", "").alias("value"), *[c.alias(n) for n, c in place.items()])
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    splits = splits.select(F.col("_f").alias("_g"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i"))
+    each = raw.withColumn("_own", own).join(F.broadcast(splits), (F.col("_f") == F.col("_g")) & (F.col("_b") == F.col("_c")))
+    return each.select((F.col("_base") + F.col("_own") - 1).cast("int").alias("line"), "value")
 
 
 def tpgr(spark: SparkSession, path: str, period: int = 86_400) -> DataFrame:
@@ -298,10 +310,9 @@ def model_dump(spark: SparkSession, path: str) -> DataFrame:
 
     A running count of first lines gives each line its record.
     """
-    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     kv = F.split(F.trim("value"), r"\|", 2)
     lines = numbered_lines(spark, path).where(F.col("value").contains("|")).select("line", kv[0].alias("key"), kv[1].alias("rest"))
-    lines = lines.withColumn("record", F.count_if(F.col("key") == "INVOCATION").over(w) - 1)
+    lines = network.running_sum(lines.withColumn("first", (F.col("key") == "INVOCATION").cast("bigint")), "line", "first", "before").withColumn("record", F.col("before") + F.col("first") - 1)
     numbers = lambda key: F.transform(F.filter(F.split(F.max(F.when(F.col("key") == key, F.col("rest"))), ","), lambda x: x != ""), lambda x: x.cast("double"))
     model = F.max(F.when(F.col("key") == "INVOCATION", F.col("rest")))
     return lines.groupBy("record").agg(model.alias("model"), numbers("PARAMS").alias("params"), numbers("DENSITIES").alias("densities"), numbers("SPEEDS").alias("speeds"))
