@@ -258,10 +258,12 @@ def two_stage_step(trips: DataFrame, weights: DataFrame, before: tuple[DataFrame
 def two_stage(trips: DataFrame, weights: DataFrame, rounds: int, route: Callable, adjust: Callable, along: Callable, most: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame, list[float]]:
     """Iterations of ``two_stage_step``, each on the weights that the last one's choice leaves; with
     the gap of every iteration."""
+    from routeloom.operators.tables import written
+
     before, gaps, now = None, [], weights
     for k in range(rounds):
         alternatives, chosen, gap = two_stage_step(trips, now, before, route, adjust, along, most, seed + 2 * k)
-        now = adjust(now, before[1] if before else None, chosen)
+        now = written(adjust(now, before[1] if before else None, chosen), "weights")
         before = (alternatives, chosen)
         gaps.append(gap)
     return before[0], before[1], gaps
